@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, quality_model, quality_rules, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, mixing, ngram_join, quality_model, quality_rules, sentencepiece_codec, sharding
 from .common import documents, labels
 
 
@@ -20,6 +20,7 @@ def piece_model() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": lambda spark, d: mixing.mix_sources(documents(spark, d)).drop("copies", "part"),
+        "op3_ngram_join": lambda spark, d: ngram_join.classes(documents(spark, d)),
         "op4_sentencepiece": lambda spark, d: sentencepiece_codec.encode_documents(documents(spark, d), piece_model()),
         "op5_quality_classifier": lambda spark, d: quality_model.score_documents(documents(spark, d), labels(spark, d)),
         "op6_quality_rules": lambda spark, d: quality_rules.judge(documents(spark, d)),
