@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, ngram_join, quality_model, quality_rules, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, mixing, ngram_join, pii, quality_model, quality_rules, sentencepiece_codec, sharding, substring_dedup
 from .common import documents, labels
 
 
@@ -19,6 +19,7 @@ def piece_model() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": lambda spark, d: pii.find_personal_data(documents(spark, d)),
         "op2_mix_sources": lambda spark, d: mixing.mix_sources(documents(spark, d)).drop("copies", "part"),
         "op3_ngram_join": lambda spark, d: ngram_join.classes(documents(spark, d)),
         "op4_sentencepiece": lambda spark, d: sentencepiece_codec.encode_documents(documents(spark, d), piece_model()),
@@ -26,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": lambda spark, d: quality_rules.judge(documents(spark, d)),
         "op7_sharding": lambda spark, d: sharding.shard_documents(documents(spark, d)),
         "op8_exact_dedup": lambda spark, d: exact_dedup.dedup_documents(documents(spark, d)),
+        "op9_repeated_passages": lambda spark, d: substring_dedup.repeated_passages(documents(spark, d)),
         "op10_language_id": lambda spark, d: language_id.identify(documents(spark, d), piece_model()),
     }
