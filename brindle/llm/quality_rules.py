@@ -24,6 +24,8 @@ COMMON = {
     "fr": "de des en est et la le les pas pour que sur un une".split(),
 }
 ALL_COMMON = sorted({w for words in COMMON.values() for w in words})
+#: The same words as they are written: small, with a capital, in capitals.
+WRITTEN = sorted({f for w in ALL_COMMON for f in (w, w.capitalize(), w.upper())})
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 #: Thresholds on the two distances, and the least lengths at which they count.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.75
@@ -36,11 +38,15 @@ def _less(s: Column, chars: str) -> Column:
     return F.length(s) - F.length(F.translate(s, chars, ""))
 
 
-def repeat_words(words: Column, n: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more. Windows are hashed and sorted with
-    their places; equal neighbours, checked word by word, are repeats; their places give the
-    number of words covered."""
-    windows = F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+def window_hashes(words: Column, n: Column) -> Column:
+    """A 64-bit hash of each 3-word window."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def repeat_words(windows: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more. Hashes are sorted with their places;
+    equal neighbours are repeats; their places give the number of words covered. Texts without
+    repeats are done after a look at the distinct hashes."""
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def covered(places: Column) -> Column:
@@ -75,7 +81,8 @@ def features(docs: DataFrame) -> DataFrame:
         "punctuation": _less(rest, ".,;:!?'\"()-").cast("long"),
         "lower": F.col("chars") - F.length(rest),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "common": F.transform(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(ALL_COMMON)), lambda w: w),
+        "common": F.transform(F.filter(words, lambda w: w.isin(WRITTEN)), lambda w: F.lower(w)),
+        "windows": window_hashes(words, F.size(words)),
     })
     known = F.col("lower") + F.col("upper") + F.col("digit") + F.col("space") + F.col("punctuation") + F.col("n_symbols")
     hits = F.transform(F.array(*[F.lit(w) for w in ALL_COMMON]), lambda c: F.size(F.filter("common", lambda w: w == c)).cast("long"))
@@ -86,7 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.col("chars") - F.col("space")).alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
-        repeat_words(words, F.size(words)).alias("n_repeat_words"),
+        repeat_words(F.col("windows")).alias("n_repeat_words"),
         "chars",
         F.array("lower", "upper", "digit", "space", "punctuation", "n_symbols", F.col("chars") - known).alias("char_hist"),
         F.concat(hits, F.array(F.col("n_words") - F.size("common"))).alias("word_hist"),
@@ -98,18 +105,18 @@ def references(rows: DataFrame) -> DataFrame:
     rows is the number of languages; each task sends one row per language."""
     width = len(CLASSES), len(ALL_COMMON) + 1
     sums = rows.groupBy("lang").agg(*[F.sum(F.col("char_hist")[k]).alias(f"c{k}") for k in range(width[0])], *[F.sum(F.col("word_hist")[k]).alias(f"w{k}") for k in range(width[1])])
-    share = lambda p, n: shares(F.array(*[F.col(f"{p}{k}") for k in range(n)]))
-    return sums.select(F.col("lang").alias("ref_lang"), share("c", width[0]).alias("char_ref"), share("w", width[1]).alias("word_ref"))
+    sums = sums.withColumns({n: F.array(*[F.col(f"{p}{k}") for k in range(w)]) for n, p, w in (("c", "c", width[0]), ("w", "w", width[1]))})
+    sums = sums.withColumns({f"{n}_total": F.aggregate(n, F.lit(0).cast("long"), lambda a, v: a + v) for n in "cw"})
+    return sums.select(F.col("lang").alias("ref_lang"), shares(F.col("c"), F.col("c_total")).alias("char_ref"), shares(F.col("w"), F.col("w_total")).alias("word_ref"))
 
 
-def shares(hist: Column) -> Column:
-    total = F.aggregate(hist, F.lit(0).cast("double"), lambda a, v: a + v)
-    return F.transform(hist, lambda v: F.when(total > 0, v / F.greatest(total, F.lit(1e-9))).otherwise(F.lit(0.0)))
+def shares(hist: Column, total: Column) -> Column:
+    return F.transform(hist, lambda v: v / F.greatest(total, F.lit(1)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Square root of the Jensen-Shannon divergence, base 2, of two arrays of shares."""
-    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / F.greatest(a + b, F.lit(1e-300)))).otherwise(0.0)
+    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
 
@@ -125,6 +132,7 @@ def judge(docs: DataFrame) -> DataFrame:
     refs = references(rows)
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["ref_lang"]))
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT * F.col("n_words"))
-    rows = rows.withColumns({"base_failed": failed, "char_distance": F.round(js_distance(shares(F.col("char_hist")), F.col("char_ref")), 6), "word_distance": F.round(js_distance(shares(F.col("word_hist")), F.col("word_ref")), 6)})
+    rows = rows.withColumns({"base_failed": failed, "char_share": shares(F.col("char_hist"), F.col("chars")), "word_share": shares(F.col("word_hist"), F.col("n_words"))})
+    rows = rows.withColumns({f"{k}_distance": F.round(js_distance(F.col(f"{k}_share"), F.col(f"{k}_ref")), 6) for k in ("char", "word")})
     odd = ((F.col("chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "char_distance", "word_distance")
