@@ -12,7 +12,6 @@ The model is (pieces in use) x (languages) floats, bounded by the vocabulary.
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 from collections import Counter
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .quality_model import fold
 
 WORDS = re.compile(r"[^\W\d_]+")
-MAX_TRAIN, ROUNDS, LONGEST, CACHE = 3000, 3, 8, 250_000
+MAX_TRAIN, ROUNDS, LONGEST, CACHE = 2000, 3, 8, 800_000
 #: Words longer than this are cut into parts of it; sums then stay within the range of doubles.
 PART = 40
 FLOOR = 1e-7
@@ -94,58 +93,77 @@ def fit(counts: dict[str, Counter], pieces: list[str]) -> tuple[list[str], list[
 
 
 class Scorer:
+    """Log-probabilities of words, remembered; new words are scored together, by length."""
+
     def __init__(self, langs: list[str], used: list[str], p: np.ndarray):
         self.langs = langs
         self.index = {piece: k for k, piece in enumerate(used)}
-        self.p = [tuple(row) for row in p.tolist()]
-        self.unknown = (FLOOR,) * len(langs)
+        n = len(langs)
+        # Behind the pieces: an unknown letter, and nothing (a longer stretch that is no piece).
+        self.p = np.concatenate([p.reshape(-1, n), np.full((1, n), FLOOR), np.zeros((1, n))])
         self.known: dict[str, int] = {}
-        self.table = np.zeros((CACHE, len(langs)))
-
-    def forward(self, word: str) -> list[float]:
-        """Log-probability of a word in each language, summed over all segmentations."""
-        total = [0.0] * len(self.langs)
-        for at in range(0, len(word), PART):
-            part = word[at : at + PART]
-            index, p = self.index, self.p
-            fore: list[list[float]] = [[1.0] * len(total)]
-            for j in range(1, len(part) + 1):
-                acc: list[float] | None = None
-                for i in range(max(0, j - LONGEST), j):
-                    k = index.get(part[i:j])
-                    if k is not None:
-                        f = fore[i]
-                        acc = [a * b for a, b in zip(f, p[k], strict=True)] if acc is None else [c + a * b for c, a, b in zip(acc, f, p[k], strict=True)]
-                    elif i == j - 1:
-                        new = [a * FLOOR for a in fore[i]]
-                        acc = new if acc is None else [c + a for c, a in zip(acc, new, strict=True)]
-                fore.append(acc)
-            total = [t + math.log(max(f, 1e-300)) for t, f in zip(total, fore[-1], strict=True)]
-        return total
-
-    def _row(self, word: str) -> int:
-        if len(self.known) >= CACHE - 1:
+        self.table = np.zeros((CACHE, n))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Of each word (up to PART letters), in each language, the log of the summed probability of all
+        its segmentations."""
+        out = np.zeros((len(words), len(self.langs)))
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        get, letter = self.index.get, len(self.p) - 2
+        for n, at in by.items():
+            spots = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                ids = np.array([[get(w[i:j], letter + (j - i > 1)) for i, j in spots] for w in [words[k] for k in part]])
+                fore = [np.ones((len(part), len(self.langs)))] + [np.zeros((len(part), len(self.langs))) for _ in range(n)]
+                for k, (i, j) in enumerate(spots):
+                    fore[j] += fore[i] * self.p[ids[:, k]]
+                out[part] = np.log(np.maximum(fore[n], 1e-300))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        k = len(self.known)
-        self.table[k] = self.forward(word)
-        self.known[word] = k
-        return k
+            new = list(words)
+        if new:
+            at = len(self.known)
+            self.table[at : at + len(new)] = self.forward(new)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def text(self, text: str | None) -> tuple[str, float]:
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its share of the posterior under equal priors; ("und", 0.0) without letters."""
-        words = WORDS.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        known = self.known
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            if len(known) + len(part) >= CACHE - 1:
-                known.clear()
-            rows = [known[w] if w in known else self._row(w) for w in part]
-            total += self.table[rows].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        totals = np.zeros((len(texts), len(self.langs)))
+        seen = np.zeros(len(texts), bool)
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def score() -> None:
+            self._learn({w for _, words in held for w in words})
+            known = self.known
+            for k, words in held:
+                totals[k] += self.table[[known[w] for w in words]].sum(axis=0)
+            held.clear()
+
+        for k, text in enumerate(texts):
+            words = WORDS.findall((text or "").lower())
+            if words and max(map(len, words)) > PART:
+                words = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+            seen[k] = bool(words)
+            for lo in range(0, len(words), CACHE // 4):
+                held.append((k, words[lo : lo + CACHE // 4]))
+                n += len(held[-1][1])
+                if n >= CACHE // 2:
+                    score()
+                    n = 0
+        score()
+        best = totals.argmax(axis=1)
+        share = 1 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
+        return [(self.langs[b], float(s)) if ok else ("und", 0.0) for b, s, ok in zip(best, share, seen, strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +215,7 @@ def identify(docs: DataFrame, model_path: str, **options) -> DataFrame:
             _scorers[key] = Scorer(*pickle.loads(sent.value))
         scorer = _scorers[key]
         for batch in batches:
-            got = [scorer.text(t.as_py()) for t in batch.column("text")]
+            got = scorer.texts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
