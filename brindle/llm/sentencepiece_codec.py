@@ -19,10 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 META = "▁"
-#: Chunks that one worker remembers; the table is emptied when it is full.
-CACHE = 300_000
+#: Chunks that one worker remembers, in two generations: when the young one is full it becomes the
+#: old one, from which chunks that are met again come back.
+CACHE = 400_000
 PAIR_CACHE = 500_000
 
 
@@ -54,6 +56,7 @@ class BacktrackingEncoder:
         self.chunk = self._chunks(list(self.id))
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.old: dict[str, tuple[bytes, int, str]] = {}
 
     @staticmethod
     def _chunks(pieces: list[str]) -> re.Pattern:
@@ -129,10 +132,12 @@ class BacktrackingEncoder:
 
     def lookup(self, chunk: str) -> tuple[bytes, int, str]:
         """A chunk's ids as text, their count, and what they decode to."""
-        ids = [i for p in self.split(chunk) for i in self.ids(p)]
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        got = (",".join(map(str, ids)).encode(), len(ids), self.surface(ids))
+        if len(self.known) >= CACHE // 2:
+            self.old, self.known = self.known, {}
+        got = self.old.get(chunk)
+        if got is None:
+            ids = [i for p in self.split(chunk) for i in self.ids(p)]
+            got = (",".join(map(str, ids)).encode(), len(ids), self.surface(ids))
         if len(chunk) <= 64:
             self.known[chunk] = got
         return got
@@ -205,7 +210,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, text: str = "text", ke
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = rows.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
