@@ -1,0 +1 @@
+"""Brindle: analytics over documents, tokens and activation vectors on Spark DataFrames."""
