@@ -30,3 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeated_passages": lambda spark, d: substring_dedup.repeated_passages(documents(spark, d)),
         "op10_language_id": lambda spark, d: language_id.identify(documents(spark, d), piece_model()),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    from .sql import oracle_sql as told
+
+    return told()
