@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -52,13 +54,38 @@ def n_words(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Whole texts go to Python in batches of at most ``rows``; a setting other than Spark's own is left."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+    return spark
+
+
+def released(run):
+    """``run`` over batches, after which the worker, which lives on, gives freed memory back."""
+
+    @functools.wraps(run)
+    def through(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return through
+
+
 def input_parts(df: DataFrame) -> int:
     """Partitions that the scan of ``df`` has; follows the size of the input."""
     return max(1, df.rdd.getNumPartitions())

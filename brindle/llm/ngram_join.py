@@ -12,9 +12,10 @@ two linked documents.
 * One-deletion neighbourhoods: where H is 1, the set is one segment, indexed as it is and with
   each single shingle left out. ``allocate`` picks for each band the cheaper of the two forms.
 
-Documents that share a signature are candidates. Copies (equal sets) are folded into one. Each
-document is first verified against the least document of its signatures; what these links leave
-apart, and only that, is then verified pair by pair, so no link between different sets is lost.
+Documents that share a signature are candidates. Copies (equal sets) are folded into one. Each document
+is first verified against one leader, the most popular document that it shares a signature with. Where
+documents that share a signature are still apart, they are compared in blocks, all against all, so no
+link that could join two components is lost and no pair is ever a row of its own.
 Verification compares whole sets.
 
 The shuffle carries packed signatures, 16 bytes each, in one row per batch and part.
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_parts, small, store
+from .common import input_parts, released, small, store
 from .components import components
 from .shingles import mix, overlap, shingle_set
 
@@ -41,6 +42,12 @@ PERCENT = 80
 #: Shingles that a batch holds LOCAL_HOT times are counted over all batches; those with HOT_MIN or
 #: more are priced. The table is a hint for costs; it holds the HOT_MAX most frequent (16 MB).
 LOCAL_HOT, HOT_MIN, HOT_MAX = 3, 50, 1_000_000
+#: Shingles counted at once, and signatures packed at once, by a task; bounds its memory.
+COUNT_AT_ONCE, PACK_AT_ONCE = 1_500_000, 400_000
+#: Shingles in a block of what is verified all against all.
+BLOCK_SHINGLES = 400_000
+#: Segments of a band over its upper limit.
+SEGMENTS = 0.35
 #: A signature expected in more documents than this is dealt to several parts.
 SALT_ROWS = 500_000
 
@@ -61,7 +68,7 @@ def allocate(lo: int, hi: int) -> tuple[str, int]:
     with the number of shingles behind a row."""
     n = (lo + hi) // 2
     most = (hi - 1 + hi - 1) // 9
-    segments = max(most + 1, math.ceil(0.35 * hi))
+    segments = max(most + 1, math.ceil(SEGMENTS * hi))
     price = lambda rows, held: rows * (1 + 16 * 0.25**held)
     subset = price((2 * n) // 9 + 1, max(1.0, n / segments))
     delete = price(n + 1, n - 1) if most <= 1 else math.inf
@@ -129,15 +136,25 @@ def signatures(s: np.ndarray, hot: np.ndarray, freq: np.ndarray) -> tuple[np.nda
 def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of all documents and how often they were met; bounded by HOT_MAX."""
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        s, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= LOCAL_HOT
+        return pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["s", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            if sets:
-                s, n = np.unique(np.concatenate(sets), return_counts=True)
-                keep = n >= LOCAL_HOT
-                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["s", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
+            for t in batch.column(0):
+                held.append(shingle_set(t.as_py()))
+                n += len(held[-1])
+                if n >= COUNT_AT_ONCE:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
+
+    sums = docs.select("text").mapInArrow(released(count), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
     got = sums.orderBy(F.desc("n"), "s").limit(HOT_MAX).toArrow()
     s, n = got["s"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(s)
@@ -148,38 +165,50 @@ PACKED = "part int, kind string, a binary, b binary, c binary"
 FOUND = "kind string, x bigint, a bigint, b bigint, n bigint"
 
 
+def _packed(parts: int, ids: list, sizes: list[int], marks: list[bytes], sigs: list[np.ndarray], owners: list[np.ndarray], salts: list[np.ndarray]) -> pa.RecordBatch:
+    rows = []
+    sig = np.concatenate([np.zeros(0, np.uint64), *sigs])
+    own = np.concatenate([np.zeros(0, np.int64), *owners])
+    salt = np.concatenate([np.zeros(0, np.int64), *salts])
+    part = ((sig ^ (salt.astype(np.uint64) * _U(0x9E3779B97F4A7C15))) % _U(parts)).astype(np.int64) * 2 + (salt > 0)
+    order = np.argsort(part, kind="stable")
+    part, sig, own = part[order], sig[order], own[order]
+    for lo, hi in _runs(part):
+        rows.append((int(part[lo]) // 2, "salted" if part[lo] % 2 else "sigs", sig[lo:hi].tobytes(), own[lo:hi].tobytes(), b""))
+    known = [k for k, i in enumerate(ids) if i is not None]
+    for kind, at in (("docs", known), ("nameless", [k for k, i in enumerate(ids) if i is None])):
+        if at:
+            rows.append(((ids[at[0]] or 0) % parts, kind, np.array([ids[k] or 0 for k in at], np.int64).tobytes(), np.array([sizes[k] for k in at], np.int64).tobytes(), b"".join(marks[k] for k in at)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3, 4)]], names=["part", "kind", "a", "b", "c"])
+
+
 def _packer(hot, parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, freq = hot.value
+        held: tuple[list, ...] = ([], [], [], [], [], [])
+        seen: set[bytes] = set()
+        n = 0
         for batch in batches:
-            rows, seen, ids, sizes, marks = [], set(), [], [], []
-            sig_parts, id_parts, salted = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, sizes, marks, sigs, owners, salts = held
                 s = shingle_set(t.as_py())
                 mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 ids.append(i)
                 sizes.append(len(s))
                 marks.append(mark)
-                if i is None or mark in seen:  # a copy within the batch: its set is indexed already
-                    continue
-                seen.add(mark)
-                sig, cost = signatures(s, tokens, freq)
-                sig_parts.append(sig)
-                id_parts.append(np.full(len(sig), i, np.int64))
-                salted.append(np.where(cost > SALT_ROWS, 1 + (i % (cost // SALT_ROWS + 1)), 0))
-            sig = np.concatenate(sig_parts) if sig_parts else np.zeros(0, np.uint64)
-            own = np.concatenate(id_parts) if id_parts else np.zeros(0, np.int64)
-            salt = np.concatenate(salted) if salted else np.zeros(0, np.int64)
-            part = ((sig ^ (salt.astype(np.uint64) * _U(0x9E3779B97F4A7C15))) % _U(parts)).astype(np.int64) * 2 + (salt > 0)
-            order = np.argsort(part, kind="stable")
-            part, sig, own = part[order], sig[order], own[order]
-            for lo, hi in _runs(part):
-                rows.append((int(part[lo]) // 2, "salted" if part[lo] % 2 else "sigs", sig[lo:hi].tobytes(), own[lo:hi].tobytes(), b""))
-            known = [k for k, i in enumerate(ids) if i is not None]
-            for kind, at in (("docs", known), ("nameless", [k for k, i in enumerate(ids) if i is None])):
-                if at:
-                    rows.append(((ids[at[0]] or 0) % parts, kind, np.array([ids[k] or 0 for k in at], np.int64).tobytes(), np.array([sizes[k] for k in at], np.int64).tobytes(), b"".join(marks[k] for k in at)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3, 4)]], names=["part", "kind", "a", "b", "c"])
+                if i is not None and mark not in seen:  # copies met just before: their set is indexed
+                    seen.add(mark)
+                    sig, cost = signatures(s, tokens, freq)
+                    sigs.append(sig)
+                    owners.append(np.full(len(sig), i, np.int64))
+                    salts.append(np.where(cost > SALT_ROWS, 1 + (i % (cost // SALT_ROWS + 1)), 0))
+                    n += len(sig)
+                if n >= PACK_AT_ONCE or len(ids) >= 20_000:
+                    yield _packed(parts, *held)
+                    held, n = ([], [], [], [], [], []), 0
+                    seen.clear()
+        if held[0]:
+            yield _packed(parts, *held)
 
     return pack
 
@@ -264,18 +293,90 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return store(both.mapInArrow(check, "a bigint, b bigint"), "links")
+    return store(both.mapInArrow(released(check), "a bigint, b bigint"), "links")
 
 
-def _unresolved(members: DataFrame, comps: DataFrame, sizes: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs that share a list, lie in different components so far, fit in size and were not verified."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """x, m, pop, n, comp of the lists that span several components so far."""
     at = members.join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn("comp", F.coalesce("comp", "m"))
-    at = store(at, "members")
     open_lists = at.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
-    at = store(at.join(open_lists, "x").join(sizes, "m"), "open-members")
-    left, right = at.select("x", F.col("m").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), at.select("x", F.col("m").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "x").where(f"a < b and ca != cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-    return store(pairs.join(done, ["a", "b"], "left_anti"), "open-pairs")
+    return store(at.join(open_lists, "x"), "open-members")
+
+
+def _to_leaders(at: DataFrame) -> DataFrame:
+    """For each document at most one pair: with the most popular leader, in a list it is in, of another
+    component. A component's leader in a list is its member that stands in most lists."""
+    leaders = at.groupBy("x", "comp").agg(F.max(F.struct("pop", (-F.col("m")).alias("k"), F.col("n").alias("n"))).alias("l"))
+    two = leaders.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("l")))).where("rn <= 2").select("x", F.col("comp").alias("lc"), F.col("l").alias("l"))
+    own = at.select("x", "m", "n", "comp").join(two, "x").where(f"comp != lc and 100 * least(n, l.n) >= {PERCENT} * greatest(n, l.n)")
+    pairs = own.select("m", F.struct(F.col("l.pop").alias("pop"), F.col("l.k").alias("k")).alias("l"), F.least("m", -F.col("l.k")).alias("a"), F.greatest("m", -F.col("l.k")).alias("b"))
+    best = pairs.groupBy("m").agg(F.max_by(F.struct("a", "b"), "l").alias("p"))
+    return store(best.select("p.a", "p.b").distinct(), "leader-pairs")
+
+
+def linking(sets: list[np.ndarray], comps: list[int], sides: list[int], cross: bool) -> list[tuple[int, int]]:
+    """Links (as places in ``sets``) that join different components, found by counting common shingles
+    over an inverted index. The largest component is never compared with itself. With ``cross`` only
+    pairs of different sides count. Links that join what is joined already are left out."""
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    names, comp = np.unique(np.array(comps), return_inverse=True)
+    side = np.array(sides)
+    main = np.bincount(comp).argmax() if len(comp) else 0
+    root = list(range(len(names)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for k in np.flatnonzero(comp != main).tolist():
+        s = sets[k]
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        total = int((hi - lo).sum())
+        if total == 0:
+            continue
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(total)
+        common = np.bincount(owner[at], minlength=len(sets))
+        ok = 100 * common >= PERCENT * (sizes + len(s) - common)
+        ok &= (comp != comp[k]) & (common > 0)
+        if cross:
+            ok &= side != side[k]
+        for j in np.flatnonzero(ok).tolist():
+            x, y = find(int(comp[k])), find(int(comp[j]))
+            if x != y:
+                root[x] = y
+                out.append((k, j))
+    return out
+
+
+def _exhaust(at: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the components that open lists span. Lists with the same leader are put together,
+    and such a group is cut into blocks of BLOCK_SHINGLES; every two blocks meet in one task, which
+    counts common shingles and returns only links that join components."""
+    leaders = at.groupBy("x").agg(F.max(F.struct("pop", (-F.col("m")).alias("k"))).alias("l"))
+    group = at.join(leaders, "x").select((-F.col("l.k")).alias("leader"), "m", "comp", "n").distinct()
+    total = group.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count_distinct("comp").alias("comps")).where("comps > 1")
+    group = group.join(total, "leader").withColumn("own", F.pmod(F.xxhash64("m"), "blocks"))
+    group = group.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = store(group.select("leader", "m", "comp", "own", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q")), "blocks")
+    ids = store(group.select(F.col("m").alias("id")).distinct(), "block-members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(small(ids), "id", "left_semi")
+    rows = group.join(texts.withColumnRenamed("id", "m"), "m")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("m")
+        m = table["m"].to_pylist()
+        sets = [shingle_set(t.as_py()) for t in table["t"]]
+        found = linking(sets, table["comp"].to_pylist(), table["own"].to_pylist(), table["p"][0].as_py() != table["q"][0].as_py())
+        return pa.table({"a": pa.array([min(m[x], m[y]) for x, y in found], pa.int64()), "b": pa.array([max(m[x], m[y]) for x, y in found], pa.int64())})
+
+    return store(rows.groupBy("leader", "p", "q").applyInArrow(compare, "a bigint, b bigint"), "block-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -288,8 +389,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hot = spark.sparkContext.broadcast(hot_shingles(rows))
-    parts = max(8, input_parts(rows))
-    packed = rows.mapInArrow(_packer(hot, parts), PACKED)
+    parts = max(8, 2 * input_parts(rows))
+    packed = rows.mapInArrow(released(_packer(hot, parts)), PACKED)
     found = store(packed.groupBy("part").applyInArrow(_match, FOUND), "found")
 
     named = found.where("kind = 'docs'").select(F.col("a").alias("doc_id"), F.col("x").alias("d1"), F.col("b").alias("d2"), "n")
@@ -305,15 +406,19 @@ def classes(docs: DataFrame) -> DataFrame:
     to_rep = lambda df, c: df.join(moved.select(F.col("doc_id").alias(c), F.col("rep").alias("__rep")), c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
     lists = store(to_rep(to_rep(lists, "a"), "b").where("a != b").distinct(), "lists")
 
-    first = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = store(first, "first-pairs")
-    links = verify(first, rows)
-    comps = components(links)
     members = lists.select("x", F.col("a").alias("m")).unionByName(lists.select("x", F.col("b").alias("m"))).distinct()
     sizes = named.where("doc_id = rep").groupBy(F.col("doc_id").alias("m")).agg(F.max("n").alias("n"))
-    rest = _unresolved(members, comps, sizes, first)
-    if not rest.isEmpty():
-        comps = components(links.unionByName(verify(rest, rows)))
+    popular = members.groupBy("m").agg(F.count("*").alias("pop"))
+    members = store(members.join(popular.join(sizes, "m"), "m"), "members")
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    comps = spark.createDataFrame([], "node bigint, comp bigint")
+    at = _open(members, comps)
+    if not at.isEmpty():
+        links = verify(_to_leaders(at), rows)
+        comps = store(components(links), "components")
+        at = _open(members, comps)
+        if not at.isEmpty():
+            comps = components(links.unionByName(_exhaust(at, rows)))
     # Rows that share an id are one node whatever their sets.
     out = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     nameless = found.where("kind = 'nameless'").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

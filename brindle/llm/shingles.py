@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE = 400_000
+#: Words that one worker remembers.
+CACHE = 100_000
 _ids: dict[bytes, int] = {}
 
 #: Odd multipliers of the places in a shingle; shorter sequences use those of their own length.
