@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parts, small, store
+from .common import input_parts, released, small, store
 from .ngram_join import _runs as runs
 from .shingles import mix, overlap, sequence, word_hashes
 
@@ -68,24 +68,37 @@ PACKED = "part int, sigs binary, ids binary, spans binary"
 TIES = "a bigint, b bigint, tied binary"
 
 
+#: Windows packed at once by a task; bounds its memory.
+PACK_AT_ONCE = 300_000
+
+
+def _packed(parts: int, sigs: list[np.ndarray], owners: list[np.ndarray], spans: list[np.ndarray]) -> pa.RecordBatch:
+    sig, own, span = np.concatenate(sigs), np.concatenate(owners), np.concatenate(spans)
+    part = (sig % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, sig, own, span = part[order], sig[order], own[order], span[order]
+    at = runs(part)
+    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in at], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own, span)]], names=["part", "sigs", "ids", "spans"])
+
+
 def _packer(parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        n = 0
         for batch in batches:
-            sig_parts, id_parts, span_parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int32)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seq = sequence(word_hashes(t.as_py()), SIZE)
                 if i is None or len(seq) < LEAST:
                     continue
                 sig, spans = window_rows(seq)
-                sig_parts.append(sig)
-                span_parts.append(spans)
-                id_parts.append(np.full(len(sig), i, np.int64))
-            sig, own, spans = np.concatenate(sig_parts), np.concatenate(id_parts), np.concatenate(span_parts)
-            part = (sig % _U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, sig, own, spans = part[order], sig[order], own[order], spans[order]
-            at = runs(part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in at], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own, spans)]], names=["part", "sigs", "ids", "spans"])
+                for into, x in zip(held, (sig, np.full(len(sig), i, np.int64), spans), strict=True):
+                    into.append(x)
+                n += len(sig)
+                if n >= PACK_AT_ONCE:
+                    yield _packed(parts, *held)
+                    held, n = ([], [], []), 0
+        if held[0]:
+            yield _packed(parts, *held)
 
     return pack
 
@@ -107,9 +120,9 @@ def _tie(table: pa.Table) -> pa.Table:
     rows = np.concatenate([spans[a], spans[b][:, 1:]], axis=1)  # function, la, ra, lb, rb
     order = np.lexsort((ids[:, 1], ids[:, 0]))
     ids, rows = ids[order], rows[order]
-    at = runs(ids[:, 0] * 1_000_003 + ids[:, 1]) if len(ids) else []
-    at = [(lo, hi) for lo, hi in at] if all((ids[lo:hi] == ids[lo]).all() for lo, hi in at) else [(k, k + 1) for k in range(len(ids))]
-    return pa.table({"a": pa.array([int(ids[lo, 0]) for lo, _ in at], pa.int64()), "b": pa.array([int(ids[lo, 1]) for lo, _ in at], pa.int64()), "tied": pa.array([rows[lo:hi].tobytes() for lo, hi in at], pa.binary())})
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])) if len(ids) else np.zeros(0, np.int64)
+    ends = [*first[1:].tolist(), len(ids)]
+    return pa.table({"a": pa.array(ids[first, 0], pa.int64()), "b": pa.array(ids[first, 1], pa.int64()), "tied": pa.array([rows[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends, strict=False)], pa.binary())})
 
 
 def agreed(rows: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -213,7 +226,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     same id are not compared with each other. No passages or an empty table give no rows; other columns
     are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = rows.mapInArrow(_packer(max(8, input_parts(rows))), PACKED)
+    packed = rows.mapInArrow(released(_packer(max(8, 2 * input_parts(rows)))), PACKED)
     ties = packed.groupBy("part").applyInArrow(_tie, TIES)
     pairs = ties.groupBy("a", "b").agg(F.collect_list("tied").alias("tied"))
 
@@ -222,10 +235,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             keep = [bool(agreed(np.frombuffer(b"".join(t), np.int32).reshape(-1, 5))) for t in batch.column(2).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    pairs = store(pairs.mapInArrow(several, "a bigint, b bigint, tied array<binary>"), "tied-pairs")
+    pairs = store(pairs.mapInArrow(released(several), "a bigint, b bigint, tied array<binary>"), "tied-pairs")
     ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
     texts = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(small(ids), "id", "left_semi")
     texts = store(texts, "candidate-texts")
     right, left = texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "tied", "ta", "tb")
-    return both.mapInArrow(_verify, RESULT)
+    return both.mapInArrow(released(_verify), RESULT)
