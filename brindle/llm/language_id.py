@@ -100,7 +100,7 @@ class Scorer:
         self.index = {piece: k for k, piece in enumerate(used)}
         n = len(langs)
         # Behind the pieces: an unknown letter, and nothing (a longer stretch that is no piece).
-        self.p = np.concatenate([p.reshape(-1, n), np.full((1, n), FLOOR), np.zeros((1, n))])
+        self.p = np.concatenate([p.reshape(len(used), n), np.full((1, n), FLOOR), np.zeros((1, n))])
         self.known: dict[str, int] = {}
         self.table = np.zeros((CACHE, n))
 

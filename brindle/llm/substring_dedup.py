@@ -139,25 +139,60 @@ def agreed(rows: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def stretches(hit: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
-    """Stretches of ``hit`` that score best with +1 for a hit and -8 for a miss; eight ninths of a
-    stretch of even length must be hits for a similarity of 0.8."""
-    out, start, total, best, end = [], 0, 0, 0, -1
+def _hit_runs(hit: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    last = 0
-    for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        total -= 8 * (lo - last)
-        if total <= 0 or best - total >= 8 * 16:
-            if end - start >= least:
-                out.append((start, end))
-            start, total, best, end = lo, 0, 0, -1
-        total += hi - lo
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def stretches(hit: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
+    """The longest stretch from hit to hit in which eight ninths are hits (a similarity of 0.8 for two
+    stretches of the same length), then the longest on either side of it, and so on."""
+    out, todo = [], [_hit_runs(hit)]
+    while todo:
+        runs_ = todo.pop()
+        if not runs_ or runs_[-1][1] - runs_[0][0] < least:
+            continue
+        # at starts: hits less 8 times the misses before; a stretch is good if the sum does not fall
+        before, after, total, last = [], [], 0, runs_[0][0]
+        for lo, hi in runs_:
+            total -= 8 * (lo - last)
+            before.append(total)
+            total += hi - lo
+            after.append(total)
+            last = hi
+        best_after = after[:]
+        for k in range(len(after) - 2, -1, -1):
+            best_after[k] = max(best_after[k], best_after[k + 1])
+        best, at, l = 0, (0, 0), 0
+        low = None
+        for k in range(len(runs_)):
+            if low is not None and before[k] >= low:
+                continue  # a start further left is at least as good
+            low = before[k]
+            l = max(l, k)
+            while l + 1 < len(runs_) and best_after[l + 1] >= low:
+                l += 1
+            if runs_[l][1] - runs_[k][0] > best:
+                best, at = runs_[l][1] - runs_[k][0], (k, l)
+        if best < least:
+            continue
+        out.append((runs_[at[0]][0], runs_[at[1]][1]))
+        todo += [runs_[: at[0]], runs_[at[1] + 1 :]]
+    return sorted(out)
+
+
+def _densest(hit: np.ndarray) -> tuple[int, int]:
+    """The stretch that scores best with +1 for a hit and -8 for a miss."""
+    start = total = best = lo = hi = last = 0
+    for a, b in _hit_runs(hit):
+        total -= 8 * (a - last)
+        if total <= 0:
+            start, total = a, 0
+        total += b - a
         if total > best:
-            best, end = total, hi
-        last = hi
-    if end - start >= least:
-        out.append((start, end))
-    return out
+            best, lo, hi = total, start, b
+        last = b
+    return lo, hi
 
 
 def passages(x: np.ndarray, y: np.ndarray, regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, float]]:
@@ -169,22 +204,34 @@ def passages(x: np.ndarray, y: np.ndarray, regions: list[tuple[int, int, int, in
         ranked = q[order]
         hit = overlap_mask(p, ranked)
         for lo, hi in stretches(hit):
-            starts = order[np.searchsorted(ranked, p[lo], "left") : np.searchsorted(ranked, p[lo], "right")]
-            ends = order[np.searchsorted(ranked, p[hi - 1], "left") : np.searchsorted(ranked, p[hi - 1], "right")]
-            want = starts + (hi - 1 - lo)
-            at = np.searchsorted(ends, want)
-            best = min(((abs(int(e) - int(w)), int(s), int(e)) for s, w, k in zip(starts, want, at, strict=True) for e in ends[max(0, k - 1) : k + 1] if e >= s), default=None)
-            if best is None:
-                continue
-            _, s, e = best
-            one, two = np.unique(p[lo:hi]), np.unique(q[s : e + 1])
-            common = overlap(one, two)
-            union = len(one) + len(two) - common
-            if 100 * common >= PERCENT * union and e + 1 - s >= LEAST * PERCENT // 100:
-                out.append((la + lo, la + hi, lb + s, lb + e + 1, common / union))
+            got = _aligned(p, q, order, ranked, lo, hi)
+            if got is None:  # what makes the other side longer may lie near an end
+                a, b = _densest(hit[lo:hi])
+                got = _aligned(p, q, order, ranked, lo + a, lo + b) if b - a >= LEAST else None
+            if got is not None:
+                lo, hi, s, e, similarity = got
+                out.append((la + lo, la + hi, lb + s, lb + e, similarity))
     return sorted(set(out))
 
 
+def _aligned(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray, lo: int, hi: int) -> tuple[int, int, int, int, float] | None:
+    """The stretch of q between the ends of p[lo:hi] whose length fits best, if the two are similar."""
+    starts = order[np.searchsorted(ranked, p[lo], "left") : np.searchsorted(ranked, p[lo], "right")]
+    ends = order[np.searchsorted(ranked, p[hi - 1], "left") : np.searchsorted(ranked, p[hi - 1], "right")]
+    want = starts + (hi - 1 - lo)
+    at = np.searchsorted(ends, want)
+    best = min(((abs(int(e) - int(w)), int(s), int(e)) for s, w, k in zip(starts, want, at, strict=True) for e in ends[max(0, k - 1) : k + 1] if e >= s), default=None)
+    if best is None:
+        return None
+    _, s, e = best
+    one, two = np.unique(p[lo:hi]), np.unique(q[s : e + 1])
+    common = overlap(one, two)
+    union = len(one) + len(two) - common
+    if 100 * common >= PERCENT * union and e + 1 - s >= LEAST * PERCENT // 100:
+        return lo, hi, s, e + 1, common / union
+    return None
+
+
 def overlap_mask(p: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(ranked, p), len(ranked) - 1)
     return ranked[at] == p
