@@ -203,3 +203,36 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, seed: int
     means = reps.withColumn("w", w).groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     q = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(q)
+
+
+def top_tail_means(df: DataFrame, keys: Sequence[str], by: str, values: Sequence[str], q: float = 0.99) -> DataFrame:
+    """Means over the rows above the q-quantile of ``by``."""
+    edges = df.groupBy(*keys).agg(F.percentile(by, F.lit(q)).alias("edge"))
+    return df.join(edges, list(keys)).where(F.col(by) > F.col("edge")).groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
+
+
+def grouped_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Moments, raw power means and the log-cosh mean for each (checkpoint, component), in one pass."""
+    from ..functions.scalars import logcosh
+
+    v = F.col(value)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(v * v).alias("raw2"), F.avg(v * v * v * v).alias("raw4"), population_skewness(v).alias("skewness"), population_excess(v).alias("kurtosis"), F.avg(logcosh(v)).alias("logcosh"))
+
+
+def excess_over_null(df: DataFrame, method: str, value: str, null: str) -> DataFrame:
+    """Each method's summary beside that of the random null, and the excess of the means."""
+    per = overlap_summary(df, [method], value)
+    base = F.broadcast(per.where(F.col(method) == null).select(F.col("mean").alias("null_mean")))  # one row
+    return per.crossJoin(base).withColumn("excess", F.col("mean") - F.col("null_mean"))
+
+
+def symmetric_grid(pairs: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """Pair values as a symmetric table with 1 on the diagonal."""
+    runs = pairs.select(F.col(a).alias("r")).unionByName(pairs.select(F.col(b).alias("r"))).distinct()
+    mean = pairs.groupBy(a, b).agg(F.avg(value).alias("v"))
+    return mean.select(F.col(a).alias("row"), F.col(b).alias("col"), "v").unionByName(mean.select(F.col(b).alias("row"), F.col(a).alias("col"), "v")).unionByName(runs.select(F.col("r").alias("row"), F.col("r").alias("col"), F.lit(1.0).alias("v")))
+
+
+def fallback_check(df: DataFrame, stored: str, recomputed: str, atol: float = 1e-7) -> DataFrame:
+    """The stored metric where there is one, and whether it agrees with the recomputed one."""
+    return df.withColumn("metric", F.coalesce(stored, recomputed)).withColumn("agrees", F.col(stored).isNull() | (F.abs(F.col(stored) - F.col(recomputed)) <= atol))

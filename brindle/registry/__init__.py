@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_entries() -> dict[str, tuple[Query, str | None]]:
-    from . import documents, evaluation, fitting, joins, statistics, vectors, windows
+    from . import documents, evaluation, fitting, joins, more, statistics, vectors, windows
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (vectors, statistics, windows, joins, documents, evaluation, fitting):
+    for module in (vectors, statistics, windows, joins, documents, evaluation, fitting, more):
         clash = out.keys() & module.ENTRIES.keys()
         if clash:
             raise ValueError(f"registered twice: {sorted(clash)}")
