@@ -124,7 +124,7 @@ def assignment(weight: np.ndarray) -> np.ndarray:
 
 def match_groups(pairs: DataFrame) -> DataFrame:
     """J14 per pair of runs. pairs: run_a, run_b, vecs_a, vecs_b (arrays of vectors; components of one
-    run each). Returns run_a, run_b, a, b, similarity."""
+    run each). Returns run_a, run_b, a, b, similarity; the smaller run is matched wholly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,11 @@ def match_groups(pairs: DataFrame) -> DataFrame:
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 sim = np.abs(x @ y.T)
-                rows += [(ra, rb, i, int(j), float(sim[i, j])) for i, j in enumerate(assignment(sim))]
+                if len(x) <= len(y):
+                    pairs = enumerate(assignment(sim).tolist())
+                else:
+                    pairs = ((i, j) for j, i in enumerate(assignment(sim.T).tolist()))
+                rows += [(ra, rb, i, j, float(sim[i, j])) for i, j in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 4 else pa.int64()) for k in range(5)], names=["run_a", "run_b", "a", "b", "similarity"])
 
     return pairs.select("run_a", "run_b", "vecs_a", "vecs_b").mapInArrow(run, "run_a bigint, run_b bigint, a bigint, b bigint, similarity double")

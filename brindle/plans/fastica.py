@@ -72,6 +72,15 @@ def scatter_matrix(df: DataFrame, center: np.ndarray, *, pre_center=None, l2: bo
     return sum_pass(df, partial, vec=vec)[0]
 
 
+def correlations(df: DataFrame, *, vec: str = "vec") -> np.ndarray:
+    """Correlation matrix of the coordinates; NaN where one is constant."""
+    n, mean = mean_vector(df, vec=vec)
+    cov = scatter_matrix(df, mean, vec=vec) / n
+    sd = np.sqrt(np.diag(cov))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return cov / np.outer(sd, sd)
+
+
 def geometric_median(df: DataFrame, *, steps: int = 50, tol: float = 1e-5, vec: str = "vec") -> np.ndarray:
     """Weiszfeld steps from the mean, until the move is below ``tol`` times max(norm, 1)."""
     _, m = mean_vector(df, vec=vec)

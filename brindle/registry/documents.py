@@ -28,7 +28,7 @@ def _(spark, d):
     return c.select("conv_id", F.size("messages").cast("long").alias("n_messages"), tokens.valid_chat(F.col("messages"), fitting=True).alias("valid"))
 
 
-@register("s04_text_identity", "SELECT lang, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS identity FROM documents WHERE doc_id % 1 = 0 GROUP BY lang")
+@register("s04_text_identity", "SELECT lang, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS identity FROM documents GROUP BY lang")
 def _(spark, d):
     """An identity of each language's texts from their digests."""
     docs = table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("hs"))
@@ -74,10 +74,10 @@ def _(spark, d):
     return tokens.framed(table(spark, d, "documents").select("doc_id", "lang"), reg, "lang").select("doc_id", "framing")
 
 
-@register("x01_toy_capture", "SELECT conv_id, count(*)::BIGINT * 2 AS n_rows, 16::BIGINT AS width FROM (SELECT conv_id, unnest(regexp_extract_all(text, '([^ \\t\\n\\r]+)', 1)) FROM conversations WHERE turn < 2) GROUP BY conv_id")
+@register("x01_toy_capture", "SELECT conv_id, count(*)::BIGINT * 2 AS n_rows, 16::BIGINT AS width FROM (SELECT conv_id, unnest(regexp_extract_all(text, '([^ \\t\\n\\r]+)', 1)) FROM conversations) GROUP BY conv_id")
 def _(spark, d):
-    """Vectors of two layers from the shipped source, for the first turns of each chat."""
-    turns = table(spark, d, "conversations").where("turn < 2")
+    """Vectors of two layers from the shipped source, for whole chats."""
+    turns = table(spark, d, "conversations")
     t = turns.select("conv_id", "turn", F.posexplode(tokens.token_texts(F.col("text"))).alias("p", "token")).withColumn("pos", (F.col("turn") * 100000 + F.col("p")).cast("long"))
     got = capture(t, ToySource(), [0, 1], doc="conv_id", context=10**9)
     return got.groupBy("conv_id").agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).cast("long").alias("width"))

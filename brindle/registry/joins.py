@@ -35,9 +35,9 @@ def _(spark, d):
     return c.join(F.broadcast(vocab), "role").select("conv_id", "turn", "token_id")  # one row per role
 
 
-@register("j07_source_documents", sql("SELECT s.row_id, s.score, d.lang, d.n_chars FROM s JOIN documents d ON d.doc_id = s.row_id WHERE s.component = 1 AND s.score > 0.1", "row_id lang n_chars", "score"))
+@register("j07_source_documents", sql("SELECT s.row_id, s.component, s.score, d.lang, d.n_chars FROM s JOIN documents d ON d.doc_id = s.row_id WHERE s.score > 0.3", "row_id component lang n_chars", "score"))
 def _(spark, d):
-    s = scores(spark, d).where("component = 1 and score > 0.1").select(F.col("row_id").alias("doc_id"), "score")
+    s = scores(spark, d).where("score > 0.3").select(F.col("row_id").alias("doc_id"), "component", "score")
     return tidy(s.join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id").withColumnRenamed("doc_id", "row_id"))
 
 
@@ -54,17 +54,17 @@ def _(spark, d):
     return joins.held_out_documents(docs, docs.where("source = 'src0'")).select("doc_id")
 
 
-_NEAR = "n AS (SELECT a.vec_id AS row_id, b.vec_id AS match, round(abs(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND b.vec_id % 25 <> 0)"
+_NEAR = "n AS (SELECT a.vec_id AS row_id, b.vec_id AS match, round(abs(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 
 
 @register("j10_nearest_direction", f"WITH {_NEAR} SELECT row_id, match, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY cosine DESC, match) AS rn FROM n) WHERE rn = 1")
 def _(spark, d):
-    """Blocked products; every twenty-fifth row against all others."""
+    """Blocked products; every row whose id 50 divides, against all others."""
     v = vectors(spark, d)
-    return tidy(matching.nearest(v.where("row_id % 25 = 0"), v.where("row_id % 25 <> 0")))
+    return tidy(matching.nearest(v.where("row_id % 50 = 0"), v, exclude_self=True))
 
 
-_UNIT = "u AS (SELECT row_id, component, score / sqrt(sum(score * score) OVER (PARTITION BY row_id)) AS score FROM s), n AS (SELECT a.row_id, b.row_id AS match, round(sum(a.score * b.score), 9) AS p FROM u a JOIN u b USING (component) WHERE a.row_id % 100 = 0 GROUP BY ALL)"
+_UNIT = "u AS (SELECT row_id, component, score / sqrt(sum(score * score) OVER (PARTITION BY row_id)) AS score FROM s), n AS (SELECT a.row_id, b.row_id AS match, round(sum(a.score * b.score), 9) AS p FROM u a JOIN u b USING (component) WHERE a.row_id % 50 = 0 GROUP BY ALL)"
 
 
 @register("j11_extreme_products", sql("SELECT row_id, match, side, rank, p AS product FROM (SELECT *, 'top' AS side, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, match) AS rank FROM n UNION ALL SELECT *, 'bottom', row_number() OVER (PARTITION BY row_id ORDER BY p, match) FROM n) WHERE rank <= 3", "row_id match side rank", "product", _UNIT))
@@ -73,7 +73,7 @@ def _(spark, d):
     from ..functions import vectors as V
 
     v = vectors(spark, d).withColumn("vec", V.l2_normalize(F.col("vec")))
-    return tidy(matching.extreme_products(v.where("row_id % 100 = 0"), v, 3))
+    return tidy(matching.extreme_products(v.where("row_id % 50 = 0"), v, 3))
 
 
 @register("j12_most_isolated", "WITH p AS (SELECT a.vec_id AS row_id, max(round(abs(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9)) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1) SELECT row_id, round(cosine, 6) AS cosine FROM p ORDER BY p.cosine, row_id LIMIT 1")
@@ -83,11 +83,12 @@ def _(spark, d):
 
 @register("j14_optimal_matching")
 def _(spark, d):
-    """One-to-one matching of two runs' directions; tested against all permutations."""
-    v = vectors(spark, d).where("row_id < 24").select("row_id", "vec")
-    runs = v.groupBy((F.col("row_id") % 2).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "vec"))), lambda x: x["vec"]).alias("vecs"))
-    a, b = runs.where("run = 0").select(F.col("run").alias("run_a"), F.col("vecs").alias("vecs_a")), runs.where("run = 1").select(F.col("run").alias("run_b"), F.col("vecs").alias("vecs_b"))
-    return tidy(matching.match_groups(a.join(b, F.col("run_a") < F.col("run_b"))))
+    """One-to-one matching of each label's directions with the next one's; tested against all
+    permutations."""
+    v = vectors(spark, d)
+    runs = v.groupBy(F.col("label").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "vec"))), lambda x: x["vec"]).alias("vecs"))
+    a, b = runs.select(F.col("run").alias("run_a"), F.col("vecs").alias("vecs_a")), runs.select(F.col("run").alias("run_b"), F.col("vecs").alias("vecs_b"))
+    return tidy(matching.match_groups(a.join(b, F.col("run_a") + 1 == F.col("run_b"))))
 
 
 @register("j15_pairs", "SELECT a.n_regionkey::BIGINT AS region, a.n_nationkey::BIGINT AS base, b.n_nationkey::BIGINT AS source FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

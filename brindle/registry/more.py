@@ -58,12 +58,12 @@ def _(spark, d):
     return tidy(matching.nearest(v.where("label = 3"), v.where("label = 4"), absolute=False))
 
 
-@register("j21_selected_features", sql("SELECT component, row_id, score FROM s WHERE component IN (SELECT component FROM s GROUP BY component ORDER BY md5('6:' || component), component LIMIT 5) AND row_id < 10", "component row_id", "score"))
+@register("j21_selected_features", sql("SELECT component, row_id, score FROM s WHERE component IN (SELECT component FROM s GROUP BY component ORDER BY md5('6:' || component), component LIMIT 5)", "component row_id", "score"))
 def _(spark, d):
     """Sampled components meet their stored values."""
     s = scores(spark, d)
     pick = sampling.sample_rows(s.select("component").distinct(), 5, "component", 6)
-    return tidy(s.where("row_id < 10").join(pick, "component", "left_semi").select("component", "row_id", "score"))
+    return tidy(s.join(pick, "component", "left_semi").select("component", "row_id", "score"))
 
 
 @register("a25_final_position_means", "WITH w AS (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY 1) SELECT role, count(*)::BIGINT AS n, round(avg(length(text)), 6) AS mean_length FROM conversations c JOIN w ON c.conv_id = w.conv_id AND c.turn = w.t GROUP BY role")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import agreement, statistics
 from ..operators.dictionaries import class_contrast, dead_features, masked_mean, perturbation_norms
+from ..plans.fastica import correlations
 from ..sources.tables import scores, table, vectors
 from .base import LONG, registrar, sql, tidy
 
@@ -73,12 +74,11 @@ def _(spark, d):
     return tidy(v.groupBy("label").agg(statistics.safe_corr(F.col("a"), F.col("b")).alias("r"), statistics.safe_corr(F.col("a"), F.lit(1.0)).alias("constant")))
 
 
-@register("a28_correlation_matrix", sql("SELECT x.component AS a, y.component AS b, corr(x.score, y.score) AS correlation FROM s x JOIN s y USING (row_id) WHERE x.component < 6 AND y.component BETWEEN 6 AND 15 GROUP BY ALL", "a b", "correlation"))
+@register("a28_correlation_matrix", sql("SELECT x.component AS a, y.component AS b, corr(x.score, y.score) AS correlation FROM s x JOIN s y USING (row_id) GROUP BY ALL", "a b", "correlation"))
 def _(spark, d):
-    s = scores(spark, d)
-    left = s.where("component < 6").select("row_id", F.col("component").alias("a"), F.col("score").alias("x"))
-    right = s.where("component between 6 and 15").select("row_id", F.col("component").alias("b"), F.col("score").alias("y"))
-    return tidy(statistics.correlation_matrix(left, right))
+    """All by all from one matrix product per batch; the join form is ``statistics.correlation_matrix``."""
+    m = correlations(vectors(spark, d))
+    return tidy(spark.createDataFrame([(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))], "a bigint, b bigint, correlation double"))
 
 
 _RATED = "r AS (SELECT lang AS model, d.doc_id, (quality + toxic)::BIGINT AS a, least(2, n_chars // 2000)::BIGINT AS b FROM documents d JOIN (SELECT DISTINCT * FROM labels) l USING (doc_id))"
@@ -187,11 +187,11 @@ def _(spark, d):
     return table(spark, d, "documents").agg(F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.count_distinct("text").alias("texts"))
 
 
-_CURVES = "SELECT event_type, user_id AS curve, day(ts)::BIGINT AS x, avg(value) AS y FROM events WHERE day(ts) <= 5 GROUP BY ALL"
+_CURVES = "SELECT event_type, user_id AS curve, (1 + (day(ts) - 1) // 7)::BIGINT AS x, avg(value) AS y FROM events GROUP BY ALL"
 
 
 def _curves(spark, d):
-    return table(spark, d, "events").where(F.dayofmonth("ts") <= 5).groupBy("event_type", F.col("user_id").alias("curve"), F.dayofmonth("ts").cast("long").alias("x")).agg(F.avg("value").alias("y"))
+    return table(spark, d, "events").groupBy("event_type", F.col("user_id").alias("curve"), (1 + F.floor((F.dayofmonth("ts") - 1) / 7)).cast("long").alias("x")).agg(F.avg("value").alias("y"))
 
 
 @register("a72_modal_grid", f"WITH c AS ({_CURVES}), e AS (SELECT curve, x, avg(y) AS y FROM c GROUP BY ALL), g AS (SELECT curve, string_agg(x::VARCHAR, ',' ORDER BY x) AS grid FROM e GROUP BY curve), b AS (SELECT grid FROM g GROUP BY grid ORDER BY count(*) DESC, grid LIMIT 1) SELECT x, round(avg(y), 6) AS mean FROM e JOIN g USING (curve) JOIN b USING (grid) GROUP BY x")
@@ -210,9 +210,9 @@ def _(spark, d):
     return tidy(scores(spark, d).groupBy("label", (F.col("component") % 4).alias("method")).agg(F.avg(F.abs("score")).alias("mean_abs"), F.percentile("score", F.lit(0.5)).alias("median"), (statistics.population_excess(F.col("score")) + 3).alias("kurtosis")))
 
 
-@register("a77_empirical_cdf", sql("SELECT component, score, cume_dist() OVER (PARTITION BY component ORDER BY score) AS fraction FROM s WHERE component < 4", "component", "score fraction"))
+@register("a77_empirical_cdf", sql("SELECT component, score, cume_dist() OVER (PARTITION BY component ORDER BY score) AS fraction FROM s", "component", "score fraction"))
 def _(spark, d):
-    return tidy(statistics.empirical_cdf(scores(spark, d).where("component < 4"), ["component"], "score"))
+    return tidy(statistics.empirical_cdf(scores(spark, d), ["component"], "score"))
 
 
 @register("a78_shared_histogram", "SELECT event_type, bin, n, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS fraction FROM (SELECT event_type, bin, count(*)::BIGINT AS n FROM (SELECT event_type, least(19, floor(sign(value) * ln(1 + abs(value)) / 6.5 * 20))::BIGINT AS bin FROM events WHERE sign(value) * ln(1 + abs(value)) BETWEEN 0 AND 6.5) GROUP BY ALL)")
@@ -226,10 +226,10 @@ def _(spark, d):
     return tidy(statistics.mean_density(v, "event_type", "user_id", "x", 10))
 
 
-@register("a80_pivot_trajectories", f"WITH c AS ({_CURVES}), e AS (SELECT curve, x, avg(y) AS y FROM c GROUP BY ALL) SELECT curve, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3 FROM (SELECT curve, max(y) FILTER (x = 1) AS d1, max(y) FILTER (x = 2) AS d2, max(y) FILTER (x = 3) AS d3 FROM e GROUP BY curve) WHERE d1 IS NOT NULL AND d2 IS NOT NULL AND d3 IS NOT NULL")
+@register("a80_pivot_trajectories", f"WITH c AS ({_CURVES}), e AS (SELECT curve, x, avg(y) AS y FROM c GROUP BY ALL) SELECT curve, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3, round(d4, 6) AS d4, round(d5, 6) AS d5 FROM (SELECT curve, max(y) FILTER (x = 1) AS d1, max(y) FILTER (x = 2) AS d2, max(y) FILTER (x = 3) AS d3, max(y) FILTER (x = 4) AS d4, max(y) FILTER (x = 5) AS d5 FROM e GROUP BY curve) WHERE d1 IS NOT NULL AND d2 IS NOT NULL AND d3 IS NOT NULL AND d4 IS NOT NULL AND d5 IS NOT NULL")
 def _(spark, d):
     c = _curves(spark, d).groupBy("curve", "x").agg(F.avg("y").alias("y"))
-    return tidy(statistics.complete_pivot(c, "curve", "x", "y", [1, 2, 3]).toDF("curve", "d1", "d2", "d3"))
+    return tidy(statistics.complete_pivot(c, "curve", "x", "y", [1, 2, 3, 4, 5]).toDF("curve", "d1", "d2", "d3", "d4", "d5"))
 
 
 @register("a81_limits_per_iteration", sql("SELECT label, max(score) AS top, avg(CASE WHEN component <> 3 THEN score END) AS mean FROM s GROUP BY label", "label", "top mean"))

@@ -99,9 +99,9 @@ def _(spark, d):
     return tidy(s.select("row_id", "component", (F.col("score") + V.capped_offset(F.col("score"), o, 0.05)).alias("score")))
 
 
-@register("p15_initial_step_override", sql("SELECT row_id, component, score + CASE WHEN row_id = 0 THEN 1.0 ELSE 0.25 END AS score FROM s WHERE component = 4", "row_id component", "score"))
+@register("p15_initial_step_override", sql("SELECT row_id, component, score + CASE WHEN row_id = 0 THEN 1.0 ELSE 0.25 END AS score FROM s", "row_id component", "score"))
 def _(spark, d):
-    s = scores(spark, d).where("component = 4")
+    s = scores(spark, d)
     return tidy(s.select("row_id", "component", (F.col("score") + F.when(F.col("row_id") == 0, 1.0).otherwise(0.25)).alias("score")))
 
 
@@ -164,10 +164,10 @@ def _(spark, d):
     return _long(apply_dictionary(vectors(spark, d), Dictionary(np.eye(64), np.eye(64), kind="relu"), ablate=4, out="y"), "y")
 
 
-@register("p29_neuron_edits", sql("SELECT row_id, score AS v, 0.0 AS constant, CASE WHEN score < 0.05 THEN 0.0 ELSE score END AS thresholded, -score AS inverted FROM s WHERE component = 9", "row_id", "v constant thresholded inverted"))
+@register("p29_neuron_edits", sql("SELECT row_id, component, score AS v, 0.0 AS constant, CASE WHEN score < 0.05 THEN 0.0 ELSE score END AS thresholded, -score AS inverted FROM s", "row_id component", "v constant thresholded inverted"))
 def _(spark, d):
     v = F.col("score")
-    return tidy(scores(spark, d).where("component = 9").select("row_id", v.alias("v"), F.lit(0.0).alias("constant"), F.when(v < 0.05, 0.0).otherwise(v).alias("thresholded"), (-v).alias("inverted")))
+    return tidy(scores(spark, d).select("row_id", "component", v.alias("v"), F.lit(0.0).alias("constant"), F.when(v < 0.05, 0.0).otherwise(v).alias("thresholded"), (-v).alias("inverted")))
 
 
 @register("p30_validation", "SELECT count(*)::BIGINT AS rows, 0::BIGINT AS not_finite, 0::BIGINT AS other_width FROM embeddings")
@@ -184,9 +184,9 @@ def _(spark, d):
     return s.select("row_id", "component", S.activation_labels(F.col("score"), F.col("top")).alias("label"))
 
 
-@register("p35_peak_normalised", sql("SELECT row_id, component, (SELECT min(x.row_id) FROM s x WHERE x.component = t.component AND abs(x.score) = t.top) AS peak, abs(score) / top AS share FROM (SELECT *, max(abs(score)) OVER (PARTITION BY component) AS top FROM s WHERE component < 8) t", "row_id component peak", "share"))
+@register("p35_peak_normalised", sql("SELECT row_id, component, min(CASE WHEN abs(score) = top THEN row_id END) OVER (PARTITION BY component) AS peak, abs(score) / top AS share FROM (SELECT *, max(abs(score)) OVER (PARTITION BY component) AS top FROM s)", "row_id component peak", "share"))
 def _(spark, d):
-    return tidy(peak_normalised(scores(spark, d).where("component < 8"), "component", "row_id", "score").select("row_id", "component", "peak", "share"))
+    return tidy(peak_normalised(scores(spark, d), "component", "row_id", "score").select("row_id", "component", "peak", "share"))
 
 
 @register("p36_standardised", sql("SELECT row_id, component, (score - avg(score) OVER w) / stddev_samp(score) OVER w AS z FROM s WINDOW w AS (PARTITION BY component)", "row_id component", "z"))

@@ -21,10 +21,10 @@ def _(spark, d):
     return scores(spark, d).select("row_id", "component", windows.competition_rank(F.abs("score"), "row_id").alias("rank"))
 
 
-@register("w02_retained_ranks", sql("SELECT row_id, component, score, rank FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY abs(score) DESC) AS rank FROM s) WHERE row_id % 10 = 0 AND component = row_id % 64", "row_id component rank", "score"))
+@register("w02_retained_ranks", sql("SELECT row_id, component, score, rank FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY abs(score) DESC) AS rank FROM s) WHERE score > 0.3", "row_id component rank", "score"))
 def _(spark, d):
     s = scores(spark, d)
-    keep = s.where("row_id % 10 = 0 and component = row_id % 64").select("row_id", "component")
+    keep = s.where("score > 0.3").select("row_id", "component")
     return tidy(windows.ranks_of_retained(s, keep).select("row_id", "component", "rank", "score"))
 
 
@@ -96,9 +96,9 @@ def _(spark, d):
     return windows.first_recovery(scores(spark, d), ["row_id"], "component", F.col("score") > 0.15).withColumn("upper", F.coalesce("upper", F.lit(-1).cast("long")))
 
 
-@register("w14_running_sign", sql("SELECT component, row_id, CASE WHEN sum((score < 0)::INT) OVER (PARTITION BY component ORDER BY row_id) % 2 = 1 THEN -1 ELSE 1 END::BIGINT AS sign FROM s WHERE component < 8", "component row_id sign"))
+@register("w14_running_sign", sql("SELECT component, row_id, CASE WHEN sum((score < 0)::INT) OVER (PARTITION BY component ORDER BY row_id) % 2 = 1 THEN -1 ELSE 1 END::BIGINT AS sign FROM s", "component row_id sign"))
 def _(spark, d):
-    return windows.running_sign(scores(spark, d).where("component < 8"), "component", "row_id", "score").select("component", "row_id", "sign")
+    return windows.running_sign(scores(spark, d), "component", "row_id", "score").select("component", "row_id", "sign")
 
 
 @register("w15_adjacent_overlap", sql("SELECT label, step, CASE WHEN prev IS NOT NULL THEN len(list_intersect(items, prev)) / 10 END AS to_previous, len(list_intersect(items, last)) / 10 AS to_final FROM (SELECT *, lag(items) OVER (PARTITION BY label ORDER BY step) AS prev, last(items) OVER (PARTITION BY label ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM (SELECT label, step, list(component ORDER BY rn) AS items FROM (SELECT label, step, component, row_number() OVER (PARTITION BY label, step ORDER BY m DESC, component) AS rn FROM (SELECT label, row_id % 5 AS step, component, round(avg(abs(score)), 9) AS m FROM s GROUP BY ALL)) WHERE rn <= 10 GROUP BY ALL))", "label step", "to_previous to_final"))
@@ -148,10 +148,10 @@ def _(spark, d):
     return tidy(windows.top_per_key(scores(spark, d), 4, ["row_id"], [F.desc(F.abs("score")), F.col("component")]).drop("label"))
 
 
-@register("l07_ordered_union", sql("SELECT component, min(row_id * 64 + rn) AS first_pos FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(score) DESC, component) AS rn FROM s WHERE row_id < 20) WHERE rn <= 3 GROUP BY component", "component first_pos"))
+@register("l07_ordered_union", sql("SELECT component, min(row_id * 64 + rn) AS first_pos FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(score) DESC, component) AS rn FROM s) WHERE rn <= 3 GROUP BY component", "component first_pos"))
 def _(spark, d):
     """First-seen distinct items over rows in order."""
-    top = windows.top_per_key(scores(spark, d).where("row_id < 20"), 3, ["row_id"], [F.desc(F.abs("score")), F.col("component")])
+    top = windows.top_per_key(scores(spark, d), 3, ["row_id"], [F.desc(F.abs("score")), F.col("component")])
     return windows.first_seen(top.withColumn("pos", F.col("row_id") * 64 + F.col("rn")), "component", "pos")
 
 
