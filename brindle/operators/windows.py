@@ -56,6 +56,14 @@ def flat_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return running_total(df, order, F.lit(1).cast("long"), "flat").withColumn("flat", F.col("flat") - 1)
 
 
+def flat_positions(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """W9 for positions that are counted from 0 in each document: only the documents' counts are summed
+    up; tokens meet their document's offset."""
+    counts = tokens.groupBy(doc).agg(F.count("*").alias("__n"))
+    offsets = running_total(counts, [doc], F.col("__n")).select(doc, (F.col("running") - F.col("__n")).alias("__offset"))
+    return tokens.join(offsets, doc).withColumn("flat", F.col("__offset") + F.col(pos)).drop("__offset")
+
+
 def context_window(tokens: DataFrame, before: int, after: int, doc: str = "doc_id", pos: str = "pos", text: str = "token") -> DataFrame:
     """The texts around each token, joined, with the token's span in them (characters)."""
     w = Window.partitionBy(doc).orderBy(pos)

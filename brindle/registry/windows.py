@@ -53,7 +53,8 @@ def _(spark, d):
 @register("w07_prefix_budget", f"WITH {_TOK}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) SELECT doc_id, n::BIGINT AS n, least(n, 20000 - before)::BIGINT AS take FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) WHERE before < 20000")
 def _(spark, d):
     """The budget runs over a distributed prefix sum."""
-    n = tokens.tokenize(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").where(tokens.not_blank(F.col("text")))
+    n = docs.select("doc_id", F.size(tokens.token_texts(F.col("text"))).cast("long").alias("n"))
     return windows.prefix_budget(n, "doc_id", "n", 20000).select("doc_id", "n", "take")
 
 
@@ -67,7 +68,7 @@ def _(spark, d):
 @register("w09_flat_index", f"WITH {_TOK} SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) - 1 AS flat FROM tok")
 def _(spark, d):
     t = tokens.tokenize(table(spark, d, "documents")).select("doc_id", "pos")
-    return windows.flat_index(t, ["doc_id", "pos"])
+    return windows.flat_positions(t)
 
 
 @register("w10_random_fragments", "WITH w AS (SELECT doc_id, regexp_extract_all(text, '([^ \\t\\n\\r]+)', 1) AS ids FROM documents), f AS (SELECT *, (('0x' || left(md5('3:' || doc_id), 12))::BIGINT % (len(ids) - 64 + 1))::BIGINT AS start FROM w WHERE len(ids) >= 64) SELECT doc_id, start, array_to_string(ids[start + 1 : start + 64], ' ') AS fragment FROM f")
