@@ -227,7 +227,7 @@ def _aligned(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray
     one, two = np.unique(p[lo:hi]), np.unique(q[s : e + 1])
     common = overlap(one, two)
     union = len(one) + len(two) - common
-    if 100 * common >= PERCENT * union and e + 1 - s >= LEAST * PERCENT // 100:
+    if 100 * common >= PERCENT * union and e + 1 - s >= LEAST:
         return lo, hi, s, e + 1, common / union
     return None
 
