@@ -182,3 +182,18 @@ def chat_rows(turns: DataFrame, ok: Column) -> DataFrame:
     """S3: conversations that pass, and the number of those that do not."""
     skipped = turns.agg(F.count_if(~ok).alias("skipped"))
     return turns.where(ok).crossJoin(F.broadcast(skipped))
+
+
+def space_preflight(spark: SparkSession, path: str, need: int, margin: float = 1.1) -> None:
+    """Refuses a write for which the file system reports too little space."""
+    fs, p, _ = _file(spark, path)
+    free = fs.getStatus(p).getRemaining()
+    if need * margin > free:
+        raise OSError(f"{need} bytes and a margin are needed, {free} are free")
+
+
+def check_held_out(fitted: Mapping, held_out: Mapping) -> None:
+    """Held-out rows must come from the same model, site, width, context and framing."""
+    wrong = [k for k in ("model", "revision", "site", "width", "context", "framing") if fitted.get(k) != held_out.get(k)]
+    if wrong:
+        raise ValueError(f"held-out rows differ in {', '.join(wrong)}")

@@ -150,6 +150,12 @@ def test_stores(spark, tmp_path):
         store.read([1])
     with pytest.raises(ValueError, match="model"):
         store.create({"model": "other", "width": 2}, [0, 1])
+    files.space_preflight(spark, "file:///tmp", 1)
+    with pytest.raises(OSError, match="free"):
+        files.space_preflight(spark, "file:///tmp", 10**18)
+    files.check_held_out(ident, ident)
+    with pytest.raises(ValueError, match="width"):
+        files.check_held_out(ident, {"model": "toy", "width": 3})
     with pytest.raises(ValueError, match="unsafe"):
         files.safe_name("../x")
     assert "&lt;b>" in files.html_report(rows.select("row_id"), "<b>")
