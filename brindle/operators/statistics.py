@@ -95,10 +95,9 @@ def token_concentration(df: DataFrame, token: str, value: str, q: float = 0.99,
     """Over rows at or above the q-quantile: distinct tokens, effective number, share of the top."""
     edge = df.agg(F.percentile(value, F.lit(q)).alias("edge"))
     counts = df.crossJoin(F.broadcast(edge)).where(F.col(value) >= F.col("edge")).groupBy(token).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), token)))
-    total = F.sum("n").over(Window.partitionBy())
-    counts = counts.withColumn("p", F.col("n") / total)
-    return counts.agg(F.count("*").alias("distinct_tokens"), F.exp(-F.sum(F.col("p") * F.ln("p"))).alias("effective_tokens"), F.sum(F.when(F.col("rank") <= top, F.col("p")).otherwise(0.0)).alias("top_share"))
+    sums = counts.agg(F.count("*").alias("distinct_tokens"), F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
+    best = counts.orderBy(F.desc("n"), token).limit(top).agg(F.sum("n").alias("best"))
+    return sums.crossJoin(F.broadcast(best)).select("distinct_tokens", F.exp(F.ln("all") - F.col("nlogn") / F.col("all")).alias("effective_tokens"), (F.col("best") / F.col("all")).alias("top_share"))
 
 
 def quantile_calibration(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
@@ -124,12 +123,6 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when((F.max(x) > F.min(x)) & (F.max(y) > F.min(y)), cov / F.sqrt(F.greatest(vx * vy, F.lit(1e-300))))
 
 
-def average_rank(value: str, partition: Sequence[str] = ()) -> Column:
-    """Ranks with ties averaged."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*partition, value)) - 1) / 2
-
-
 def correlation_matrix(left: DataFrame, right: DataFrame, row: str = "row_id") -> DataFrame:
     """Left (row, a, x), right (row, b, y): correlation of every a with every b.
 
