@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from conftest_llm import make, odd_rows, prose
 
@@ -71,10 +72,8 @@ def test_near_copies_against_brute_force(spark, family):
         assert got == want
 
 
-def test_salted_and_blocked_paths(spark, family, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", 1)
+def test_priced_and_blocked_paths(spark, family, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_MIN", 2)
-    monkeypatch.setattr(ngram_join, "LOCAL_HOT", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(make(spark, family)).collect()}
     assert got == brute_components(family)
@@ -184,3 +183,69 @@ def test_passages(spark, odd, empty):
         assert len(x & y) / len(x | y) >= 0.8 and r["similarity"] == pytest.approx(len(x & y) / len(x | y), abs=1e-5)
     assert substring_dedup.repeated_passages(empty).count() == 0
     assert substring_dedup.repeated_passages(odd).count() == 0
+
+
+def connected(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return len({find(n) for n in nodes}) == 1
+
+
+def by_part(batches):
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(batches)
+    return [table.filter(pa.compute.equal(table["part"], p)) for p in sorted(set(table["part"].to_pylist()))]
+
+
+def test_hot_windows_are_tied_in_the_task(monkeypatch):
+    """Packings of one hot window tie their own documents; what goes on connects the packings."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "PASS_ON", 3)
+    n = 40
+    sig, span = np.full(n, 77, np.uint64), np.tile(np.array([[0, 1, 60]], np.int32), (n, 1))
+    batches = [substring_dedup._packed(4, [sig[k : k + 10]], [np.arange(k, k + 10)], [span[k : k + 10]]) for k in range(0, n, 10)]
+    assert sum(len(b) // 8 for batch in batches for b in batch.column(2).to_pylist()) == 2 * len(batches)
+    ties = pa.concat_tables([substring_dedup._tie(t) for t in by_part(batches)])
+    assert connected(zip(ties["a"].to_pylist(), ties["b"].to_pylist()), range(n))
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int32)]
+    assert substring_dedup._packed(4, *none).num_rows == 0
+
+
+def test_salted_signatures_meet_again():
+    """A signature dealt to several parts gives lists of one name, whose least documents tie them."""
+    n = 30
+    batch = ngram_join._packed(8, list(range(n)), [9] * n, [bytes(16)] * n, [np.full(1, 5, np.uint64)] * n, [np.array([i]) for i in range(n)], [np.array([1 + i % 4]) for i in range(n)])
+    rows = []
+    for t in by_part([batch]):
+        rows += [r for r in ngram_join._match(t).to_pylist() if r["kind"] == "salted"]
+    assert len({r["x"] for r in rows}) == 1 and {r["b"] for r in rows} == set(range(n)) and len({r["a"] for r in rows}) == 4
+    least = min(r["a"] for r in rows)
+    assert connected([(r["a"], r["b"]) for r in rows] + [(least, r["a"]) for r in rows], range(n))
+
+
+def test_linking_in_blocks():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (0, 5, 9, 30, 32, 60)]
+    want = [(a, b) for a, b in itertools.combinations(range(6), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    got = ngram_join.linking(sets, [0, 1, 2, 3, 4, 5], [0] * 6, False)
+    assert {tuple(sorted(p)) for p in got} <= set(want)
+    assert _classes(got, 6) == _classes(want, 6)
+    assert ngram_join.linking(sets, [0] * 6, [0] * 6, False) == [] and ngram_join.linking([], [], [], False) == []
+
+
+def _classes(pairs, n):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
