@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_parts, released, small, store
@@ -299,16 +299,20 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """x, m, pop, n, comp of the lists that span several components so far."""
     at = members.join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn("comp", F.coalesce("comp", "m"))
+    at = store(at, "labelled")
     open_lists = at.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
-    return store(at.join(open_lists, "x"), "open-members")
+    return store(at.join(small(store(open_lists, "open-lists")), "x"), "open-members")
 
 
 def _to_leaders(at: DataFrame) -> DataFrame:
     """For each document at most one pair: with the most popular leader, in a list it is in, of another
     component. A component's leader in a list is its member that stands in most lists."""
     leaders = at.groupBy("x", "comp").agg(F.max(F.struct("pop", (-F.col("m")).alias("k"), F.col("n").alias("n"))).alias("l"))
-    two = leaders.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("l")))).where("rn <= 2").select("x", F.col("comp").alias("lc"), F.col("l").alias("l"))
-    own = at.select("x", "m", "n", "comp").join(two, "x").where(f"comp != lc and 100 * least(n, l.n) >= {PERCENT} * greatest(n, l.n)")
+    leaders = store(leaders, "leaders")
+    best = leaders.groupBy("x").agg(F.max(F.struct("l", "comp")).alias("t"))
+    other = leaders.join(best, "x").where("comp != t.comp").groupBy("x").agg(F.max(F.struct("l", "comp")).alias("t"))
+    two = store(best.unionByName(other).select("x", F.col("t.comp").alias("lc"), F.col("t.l").alias("l")), "two-leaders")
+    own = at.select("x", "m", "n", "comp").join(small(two), "x").where(f"comp != lc and 100 * least(n, l.n) >= {PERCENT} * greatest(n, l.n)")
     pairs = own.select("m", F.struct(F.col("l.pop").alias("pop"), F.col("l.k").alias("k")).alias("l"), F.least("m", -F.col("l.k")).alias("a"), F.greatest("m", -F.col("l.k")).alias("b"))
     best = pairs.groupBy("m").agg(F.max_by(F.struct("a", "b"), "l").alias("p"))
     return store(best.select("p.a", "p.b").distinct(), "leader-pairs")
@@ -318,7 +322,7 @@ def linking(sets: list[np.ndarray], comps: list[int], sides: list[int], cross: b
     """Links (as places in ``sets``) that join different components, found by counting common shingles
     over an inverted index. The largest component is never compared with itself. With ``cross`` only
     pairs of different sides count. Links that join what is joined already are left out."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate([np.zeros(0, np.uint64), *sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
@@ -359,8 +363,8 @@ def _exhaust(at: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the components that open lists span. Lists with the same leader are put together,
     and such a group is cut into blocks of BLOCK_SHINGLES; every two blocks meet in one task, which
     counts common shingles and returns only links that join components."""
-    leaders = at.groupBy("x").agg(F.max(F.struct("pop", (-F.col("m")).alias("k"))).alias("l"))
-    group = at.join(leaders, "x").select((-F.col("l.k")).alias("leader"), "m", "comp", "n").distinct()
+    leaders = store(at.groupBy("x").agg(F.max(F.struct("pop", (-F.col("m")).alias("k"))).alias("l")), "leaders")
+    group = at.join(small(leaders), "x").select((-F.col("l.k")).alias("leader"), "m", "comp", "n").distinct()
     total = group.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count_distinct("comp").alias("comps")).where("comps > 1")
     group = group.join(total, "leader").withColumn("own", F.pmod(F.xxhash64("m"), "blocks"))
     group = group.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -394,8 +398,9 @@ def classes(docs: DataFrame) -> DataFrame:
     found = store(packed.groupBy("part").applyInArrow(_match, FOUND), "found")
 
     named = found.where("kind = 'docs'").select(F.col("a").alias("doc_id"), F.col("x").alias("d1"), F.col("b").alias("d2"), "n")
-    reps = named.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = store(named.join(reps, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    # only sets that stand more than once are joined, by an equi-join that can be split where it is skewed
+    reps = store(named.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same")).where("same > 1").drop("same"), "copied-sets")
+    named = store(named.join(small(reps), ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
     copies = store(named.where("rep != doc_id").select("doc_id", "rep").distinct(), "copies")
     moved = small(copies)
 
