@@ -29,7 +29,8 @@ CAPITALS, DIGITS, REPEAT, START = 1, 2, 3, 5
 MAX_TRAIN, EPOCHS, THRESHOLD = 6000, 3, 0.7
 #: FTRL-proximal: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-CACHE = 400_000
+#: Tokens that one worker remembers.
+CACHE = 100_000
 
 _codes: dict[str, tuple[int, int]] = {}
 

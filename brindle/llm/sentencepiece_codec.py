@@ -25,7 +25,7 @@ META = "▁"
 #: Chunks that one worker remembers, in two generations: when the young one is full it becomes the
 #: old one, from which chunks that are met again come back.
 CACHE = 400_000
-PAIR_CACHE = 500_000
+PAIR_CACHE = 200_000
 
 
 class BacktrackingEncoder:
@@ -49,7 +49,7 @@ class BacktrackingEncoder:
         reached = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
         self.tree = ahocorasick.Automaton()
         for p in reached:
-            self.tree.add_word(p, p)
+            self.tree.add_word(p, (p, len(p) - 1))
         self.tree.make_automaton()
         #: The longest reached proper prefix of each reached piece.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
@@ -96,31 +96,30 @@ class BacktrackingEncoder:
         """The pieces of one chunk; characters without a piece stand alone."""
         n = len(text)
         longest: list[str | None] = [None] * n
-        for end, p in self.tree.iter(text):
-            start = end - len(p) + 1
-            if longest[start] is None or len(longest[start]) < len(p):
-                longest[start] = p
+        for end, (p, back) in self.tree.iter(text):
+            longest[end - back] = p  # of one start, longer pieces come later
         live = bytearray(b"\x01") * (n + 1)
         out: list[str] = []
-        at, take = 0, longest[0] or text[0]
+        fits, shorter, compatible = self.fits, self.shorter, self.compatible
+        at, take, last = 0, longest[0] or text[0], ""
         while at < n:
-            while True:
-                end = at + len(take)
-                if live[end] and (not out or self.compatible(out[-1], take)):
-                    out.append(take)
-                    at = end
-                    take = (longest[at] or text[at]) if at < n else ""
-                    break
-                less = self.shorter.get(take)
-                if less is not None:
-                    take = less
-                    continue
-                live[at] = 0
-                if not out:
-                    raise ValueError(f"no encoding of {text!r}")
-                take = out.pop()
-                at -= len(take)
-                break
+            end = at + len(take)
+            if live[end] and (not last or (fits[last, take] if (last, take) in fits else compatible(last, take))):
+                out.append(take)
+                at, last = end, take
+                if at < n:
+                    take = longest[at] or text[at]
+                continue
+            less = shorter.get(take)
+            if less is not None:
+                take = less
+                continue
+            live[at] = 0
+            if not out:
+                raise ValueError(f"no encoding of {text!r}")
+            take = out.pop()
+            at -= len(take)
+            last = out[-1] if out else ""
         return out
 
     def ids(self, piece: str) -> list[int]:
@@ -136,8 +135,14 @@ class BacktrackingEncoder:
             self.old, self.known = self.known, {}
         got = self.old.get(chunk)
         if got is None:
-            ids = [i for p in self.split(chunk) for i in self.ids(p)]
-            got = (",".join(map(str, ids)).encode(), len(ids), self.surface(ids))
+            pieces = self.split(chunk)
+            try:
+                ids = [self.id[p] for p in pieces]
+                surface = chunk.replace(META, " ")  # the pieces, put together again
+            except KeyError:
+                ids = [i for p in pieces for i in self.ids(p)]
+                surface = self.surface(ids)
+            got = (",".join(map(str, ids)).encode(), len(ids), surface)
         if len(chunk) <= 64:
             self.known[chunk] = got
         return got

@@ -9,22 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import exact_dedup, mixing, ngram_join, quality_model, sentencepiece_codec
-from brindle.llm.common import documents, labels, store
+from brindle.llm.common import documents, labels, small_batches, store
 from brindle.llm.queries import piece_model
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality_model.keep_good(docs, labels(spark, sf_dir))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
+    small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a similarity of 0.8 or more."""
+    small_batches(spark)
     return ngram_join.drop_near_copies(docs)
 
 
@@ -35,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row of the mix, with the digests of ids and decoded text."""
+    small_batches(spark)
     return sentencepiece_codec.encode_documents(docs, piece_model(), keep=("doc_id", "source"), with_ids=True)
 
 
