@@ -40,37 +40,43 @@ def public_pieces(model: bytes) -> list[str]:
     return sorted(p for p in pieces if 0 < len(p) <= LONGEST and WORDS.fullmatch(p))
 
 
-def spans(word: str, index: dict[str, int]) -> list[list[tuple[int, int]]]:
-    """For each end position, the (start, piece) of the pieces that end there; -1 is an unknown letter."""
-    out = []
-    for j in range(1, len(word) + 1):
-        found = [(i, index[p]) for i in range(max(0, j - LONGEST), j) if (p := word[i:j]) in index]
-        if not found or found[-1][0] != j - 1:
-            found.append((j - 1, -1))
-        out.append(found)
-    return out
-
-
-def expected(counts: Counter, index: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of one language's word counts under p."""
-    out = np.full(len(p), 0.01)
-    probs = [*p.tolist(), FLOOR]  # -1 is the last
-    for word, c in counts.items():
-        n = len(word)
-        ends = spans(word, index)
-        fore = [1.0] + [0.0] * n
-        for j, found in enumerate(ends, 1):
-            fore[j] = sum([fore[i] * probs[k] for i, k in found])
-        if fore[n] <= 0:
-            continue
-        back = [0.0] * n + [1.0]
-        for j in range(n, 0, -1):
-            b = back[j]
-            for i, k in ends[j - 1]:
-                back[i] += b * probs[k]
-                if k >= 0:
-                    out[k] += c * fore[i] * probs[k] * b / fore[n]
-    return out
+def spots(n: int) -> list[tuple[int, int]]:
+    """The stretches of a word of n letters that can be pieces, by their ends."""
+    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+
+
+def by_length(words: list[str], index: dict[str, int]) -> Iterator[tuple[list[int], list[tuple[int, int]], np.ndarray]]:
+    """Words of one length together: their places, the stretches, and the piece in each stretch. Behind
+    the pieces stand an unknown letter and nothing (a longer stretch that is no piece)."""
+    by: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        by.setdefault(len(w), []).append(k)
+    get, letter = index.get, len(index)
+    for n, at in by.items():
+        where = spots(n)
+        for lo in range(0, len(at), 4096):
+            part = at[lo : lo + 4096]
+            yield part, where, np.array([[get(w[i:j], letter + (j - i > 1)) for i, j in where] for w in [words[k] for k in part]], np.int32)
+
+
+def expected(groups: list, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected piece counts of word counts under p, by forward and backward sums over all segmentations."""
+    probs = np.concatenate([p, [FLOOR, 0.0]])
+    out = np.zeros(len(probs))
+    for part, where, ids in groups:
+        n = where[-1][1]
+        q = probs[ids]
+        fore = [np.ones(len(part))] + [np.zeros(len(part)) for _ in range(n)]
+        for k, (i, j) in enumerate(where):
+            fore[j] += fore[i] * q[:, k]
+        back = [np.zeros(len(part)) for _ in range(n)] + [np.ones(len(part))]
+        for k in range(len(where) - 1, -1, -1):
+            i, j = where[k]
+            back[i] += back[j] * q[:, k]
+        share = counts[part] / np.maximum(fore[n], 1e-300)
+        for k, (i, j) in enumerate(where):
+            out += np.bincount(ids[:, k], weights=share * fore[i] * q[:, k] * back[j], minlength=len(out))
+    return out[:-2] + 0.01
 
 
 def fit(counts: dict[str, Counter], pieces: list[str]) -> tuple[list[str], list[str], np.ndarray]:
@@ -85,8 +91,11 @@ def fit(counts: dict[str, Counter], pieces: list[str]) -> tuple[list[str], list[
     cols = []
     for lang in langs:
         p = np.full(len(used), 1 / max(1, len(used)))
+        words = list(counts[lang])
+        groups = list(by_length(words, index))
+        n = np.array([counts[lang][w] for w in words], float)
         for _ in range(ROUNDS):
-            e = expected(counts[lang], index, p)
+            e = expected(groups, n, p)
             p = e / e.sum()
         cols.append(np.maximum(p, FLOOR))
     return langs, used, np.stack(cols, axis=1) if cols else np.zeros((len(used), 0))
@@ -108,19 +117,12 @@ class Scorer:
         """Of each word (up to PART letters), in each language, the log of the summed probability of all
         its segmentations."""
         out = np.zeros((len(words), len(self.langs)))
-        by: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by.setdefault(len(w), []).append(k)
-        get, letter = self.index.get, len(self.p) - 2
-        for n, at in by.items():
-            spots = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
-                ids = np.array([[get(w[i:j], letter + (j - i > 1)) for i, j in spots] for w in [words[k] for k in part]])
-                fore = [np.ones((len(part), len(self.langs)))] + [np.zeros((len(part), len(self.langs))) for _ in range(n)]
-                for k, (i, j) in enumerate(spots):
-                    fore[j] += fore[i] * self.p[ids[:, k]]
-                out[part] = np.log(np.maximum(fore[n], 1e-300))
+        for part, where, ids in by_length(words, self.index):
+            n = where[-1][1]
+            fore = [np.ones((len(part), len(self.langs)))] + [np.zeros((len(part), len(self.langs))) for _ in range(n)]
+            for k, (i, j) in enumerate(where):
+                fore[j] += fore[i] * self.p[ids[:, k]]
+            out[part] = np.log(np.maximum(fore[n], 1e-300))
         return out
 
     def _learn(self, words: set[str]) -> None:
