@@ -205,21 +205,6 @@ def by_part(batches):
     return [table.filter(pa.compute.equal(table["part"], p)) for p in sorted(set(table["part"].to_pylist()))]
 
 
-def test_hot_windows_are_tied_in_the_task(monkeypatch):
-    """Packings of one hot window tie their own documents; what goes on connects the packings."""
-    import pyarrow as pa
-
-    monkeypatch.setattr(substring_dedup, "PASS_ON", 3)
-    n = 40
-    sig, span = np.full(n, 77, np.uint64), np.tile(np.array([[0, 1, 60]], np.int32), (n, 1))
-    batches = [substring_dedup._packed(4, [sig[k : k + 10]], [np.arange(k, k + 10)], [span[k : k + 10]]) for k in range(0, n, 10)]
-    assert sum(len(b) // 8 for batch in batches for b in batch.column(2).to_pylist()) == 2 * len(batches)
-    ties = pa.concat_tables([substring_dedup._tie(t) for t in by_part(batches)])
-    assert connected(zip(ties["a"].to_pylist(), ties["b"].to_pylist()), range(n))
-    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int32)]
-    assert substring_dedup._packed(4, *none).num_rows == 0
-
-
 def test_salted_signatures_meet_again():
     """A signature dealt to several parts gives lists of one name, whose least documents tie them."""
     n = 30
