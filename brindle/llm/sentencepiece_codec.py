@@ -54,9 +54,10 @@ class BacktrackingEncoder:
         #: The longest reached proper prefix of each reached piece.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
         self.chunk = self._chunks(list(self.id))
+        self.capacity = CACHE
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, int, str]] = {}
-        self.old: dict[str, tuple[bytes, int, str]] = {}
+        self.known: dict[str, tuple[bytes, int, str | None]] = {}
+        self.old: dict[str, tuple[bytes, int, str | None]] = {}
 
     @staticmethod
     def _chunks(pieces: list[str]) -> re.Pattern:
@@ -129,16 +130,17 @@ class BacktrackingEncoder:
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(META + text.replace(" ", META)) if text else []
 
-    def lookup(self, chunk: str) -> tuple[bytes, int, str]:
-        """A chunk's ids as text, their count, and what they decode to."""
-        if len(self.known) >= CACHE // 2:
+    def lookup(self, chunk: str) -> tuple[bytes, int, str | None]:
+        """A chunk's ids as text, their count, and what they decode to (None: the chunk itself, as its
+        pieces put together again)."""
+        if len(self.known) >= self.capacity // 2:
             self.old, self.known = self.known, {}
         got = self.old.get(chunk)
         if got is None:
             pieces = self.split(chunk)
             try:
                 ids = [self.id[p] for p in pieces]
-                surface = chunk.replace(META, " ")  # the pieces, put together again
+                surface = None
             except KeyError:
                 ids = [i for p in pieces for i in self.ids(p)]
                 surface = self.surface(ids)
@@ -180,10 +182,11 @@ class BacktrackingEncoder:
         """The ids as comma-joined text, their count, and the decoded text, chunk by chunk: bytes
         of one character never cross a chunk, so decoding chunks one by one is decoding the whole."""
         known, lookup = self.known, self.lookup
-        got = [known.get(c) or lookup(c) for c in self.chunks(text)]
+        chunks = self.chunks(text)
+        got = [known.get(c) or lookup(c) for c in chunks]
         if not got:
             return b"", 0, ""
-        text = "".join([g[2] for g in got])
+        text = "".join([c if g[2] is None else g[2] for c, g in zip(chunks, got, strict=True)]).replace(META, " ")
         first = got[0][0].split(b",", 1)[0]
         return b",".join([g[0] for g in got]), sum([g[1] for g in got]), text[1:] if self.pieces[int(first)].startswith(META) else text
 
@@ -205,9 +208,9 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """One row per document: the ``keep`` columns, n_tokens, the digests of ids and decoded text,
-    and with ``with_ids`` the ids. The vocabulary file is read on the driver and sent along (it
+    and with ``with_ids`` the ids. ``cache`` chunks are remembered by a worker. The vocabulary file is read on the driver and sent along (it
     has a fixed size). Null text counts as empty; rows are independent of each other, so repeated
     rows repeat; an empty table gives an empty result; other columns are not touched.
     """
@@ -221,6 +224,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, text: str = "text", ke
         import numpy as np
 
         enc = encoder(model.value)
+        enc.capacity = cache
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             counts, id_digests, text_digests, parts, offsets = [], [], [], [], [0]

@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row of the mix, with the digests of ids and decoded text."""
     small_batches(spark)
-    return sentencepiece_codec.encode_documents(docs, piece_model(), keep=("doc_id", "source"), with_ids=True)
+    return sentencepiece_codec.encode_documents(docs, piece_model(), keep=("doc_id", "source"), with_ids=True, cache=200_000)
 
 
 STAGES = [
