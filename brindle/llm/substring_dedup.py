@@ -195,23 +195,61 @@ def _densest(hit: np.ndarray) -> tuple[int, int]:
     return lo, hi
 
 
-def passages(x: np.ndarray, y: np.ndarray, regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """Verified passages of two shingle sequences: starts and ends (in shingles, ends excluded)."""
+Text = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def indexed(x: np.ndarray) -> Text:
+    """A shingle sequence, its places in the order of the shingles, and the shingles in that order."""
+    order = np.argsort(x, kind="stable")
+    return x, order, x[order]
+
+
+def passages(x: Text, y: Text) -> list[tuple[int, int, int, int, float]]:
+    """Verified passages of two texts: starts and ends (in shingles, ends excluded). Both texts are
+    searched, as eight ninths of the shorter side are hits, and so that every occurrence of a passage is
+    found in either."""
+    out = set(_search(x, y))
+    for s, e, lo, hi, v in _search(y, x):
+        if not any(l <= lo and hi <= h and t <= s and e <= f for l, h, t, f, _ in out):
+            out.add((lo, hi, s, e, v))
+    return sorted(out)
+
+
+def _search(x: Text, y: Text) -> list[tuple[int, int, int, int, float]]:
     out = []
-    for la, ra, lb, rb in regions:
-        p, q = x[la : ra + 1], y[lb : rb + 1]
-        order = np.argsort(q, kind="stable")
-        ranked = q[order]
-        hit = overlap_mask(p, ranked)
-        for lo, hi in stretches(hit):
-            got = _aligned(p, q, order, ranked, lo, hi)
-            if got is None:  # what makes the other side longer may lie near an end
-                a, b = _densest(hit[lo:hi])
-                got = _aligned(p, q, order, ranked, lo + a, lo + b) if b - a >= LEAST else None
-            if got is not None:
-                lo, hi, s, e, similarity = got
-                out.append((la + lo, la + hi, lb + s, lb + e, similarity))
-    return sorted(set(out))
+    for lo, hi in stretches(overlap_mask(x[0], y[2])):
+        out += _within(x[0], *y, lo, hi)
+    return out
+
+
+def _within(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages in a stretch of p. If it is none as a whole, its densest part is tried, then the parts
+    before and after the greatest break in its order in q."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        got = _aligned(p, q, order, ranked, lo, hi)
+        if got is None:  # what makes the other side longer may lie near an end
+            hit = overlap_mask(p[lo:hi], ranked)
+            a, b = _densest(hit)
+            if b - a >= LEAST and (a, b) != (0, hi - lo):
+                got = _aligned(p, q, order, ranked, lo + a, lo + b)
+        if got is not None:
+            out.append(got)
+            if (got[0], got[1]) != (lo, hi):
+                todo += [(lo, got[0]), (got[1], hi)]
+            continue
+        hits = lo + np.flatnonzero(hit)
+        if len(hits) and (hits[0], hits[-1] + 1) != (lo, hi):
+            todo.append((int(hits[0]), int(hits[-1]) + 1))
+            continue
+        jump = np.abs(np.diff(order[np.searchsorted(ranked, p[hits])] - hits))
+        if jump.any():
+            k = int(jump.argmax())
+            todo += [(int(hits[0]), int(hits[k]) + 1), (int(hits[k + 1]), int(hits[-1]) + 1)]
+    return out
 
 
 def _aligned(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray, lo: int, hi: int) -> tuple[int, int, int, int, float] | None:
@@ -241,11 +279,11 @@ RESULT = "doc_id bigint, start_word bigint, end_word bigint, match_doc_id bigint
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    recent: OrderedDict[str, np.ndarray] = OrderedDict()
+    recent: OrderedDict[str, Text] = OrderedDict()
 
-    def get(t: str) -> np.ndarray:
+    def get(t: str) -> Text:
         s = recent.pop(t, None)
-        s = sequence(word_hashes(t), SIZE) if s is None else s
+        s = indexed(sequence(word_hashes(t), SIZE)) if s is None else s
         recent[t] = s
         if len(recent) > 8:
             recent.popitem(last=False)
@@ -254,14 +292,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for a, b, tied, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-            regions = agreed(np.frombuffer(b"".join(tied), np.int32).reshape(-1, 5))
-            if regions:
-                x, y = get(ta.as_py()), get(tb.as_py())
-                # windows of other rows with the same ids may reach beyond these texts
-                regions = [r for r in regions if r[0] < len(x) and r[2] < len(y)]
-                rows += [(b, s2, e2 + SIZE - 1, a, s1, e1 + SIZE - 1, round(v, 6)) for s1, e1, s2, e2, v in passages(x, y, regions)]
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names=names)
+            for la, ra, lb, rb in agreed(np.frombuffer(b"".join(tied), np.int32).reshape(-1, 5)):
+                x, y = get(ta.as_py())[0][la : ra + 1], get(tb.as_py())[0][lb : rb + 1]
+                if len(x) and len(y):  # windows of other rows with the same ids may reach beyond these texts
+                    rows += _rows(a, b, [(la + lo, la + hi, lb + s, lb + e, v) for lo, hi, s, e, v in passages(indexed(x), indexed(y))])
+        yield _results(rows)
+
+
+def _rows(a: int, b: int, found: list[tuple[int, int, int, int, float]]) -> list[tuple]:
+    return [(b, s2, e2 + SIZE - 1, a, s1, e1 + SIZE - 1, round(v, 6)) for s1, e1, s2, e2, v in found]
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names=names)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -234,3 +234,23 @@ def _classes(pairs, n):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     return root
+
+
+def _sequence(words):
+    return substring_dedup.indexed(sequence(word_hashes(" ".join(words))))
+
+
+def test_passages_with_a_cut_in_either_text():
+    """104 words against the same without 10 in the middle: 86 of 104 shingles, whichever id is smaller."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(104)]
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    whole, cut = fresh(70) + passage + fresh(50), fresh(30) + passage[:47] + passage[57:] + fresh(80)
+    assert [r[4] for r in substring_dedup.passages(_sequence(whole), _sequence(cut))] == [86 / 104]
+    assert [r[4] for r in substring_dedup.passages(_sequence(cut), _sequence(whole))] == [86 / 104]
+
+
+def test_passages_in_another_order():
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(70)]
+    got = substring_dedup.passages(_sequence(one + two), _sequence(two + one))
+    assert [r[:4] for r in got] == [(0, 56, 70, 126), (60, 126, 0, 66)]
