@@ -49,54 +49,48 @@ def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
     return out
 
 
-def window_rows(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and [l, r] with the function's number, of a text; one window for each signature."""
-    sigs, spans = [], []
+def window_signatures(seq: np.ndarray) -> np.ndarray:
+    """The distinct signatures of a text's windows; the two low bits are the function's number."""
+    sigs = []
     for j, seed in enumerate(_SEEDS):
         h = mix(seq ^ seed)
-        seen = set()
-        for lo, c, hi in compact_windows(h):
-            s = int(h[c])
-            if s not in seen:  # outer windows come first
-                seen.add(s)
-                sigs.append(s)
-                spans.append((j, lo, hi))
-    return np.array(sigs, np.uint64), np.array(spans, np.int32).reshape(-1, 3)
+        sigs.append(np.unique(h[[c for _, c, _ in compact_windows(h)]]) & ~_U(3) | _U(j))
+    return np.concatenate(sigs)
 
 
-PACKED = "part int, sigs binary, ids binary, spans binary"
-TIES = "a bigint, b bigint, tied binary"
+PACKED = "part int, sigs binary, ids binary"
+TIES = "a bigint, b bigint, agree int"
 
 
 #: Windows packed at once by a task; bounds its memory.
 PACK_AT_ONCE = 300_000
 
 
-def _packed(parts: int, sigs: list[np.ndarray], owners: list[np.ndarray], spans: list[np.ndarray]) -> pa.RecordBatch:
-    sig, own, span = np.concatenate(sigs), np.concatenate(owners), np.concatenate(spans)
-    part = (sig % _U(parts)).astype(np.int64)
+def _packed(parts: int, sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    sig, own = np.concatenate(sigs), np.concatenate(owners)
+    part = ((sig >> _U(2)) % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    part, sig, own, span = part[order], sig[order], own[order], span[order]
+    part, sig, own = part[order], sig[order], own[order]
     at = runs(part)
-    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in at], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own, span)]], names=["part", "sigs", "ids", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in at], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own)]], names=["part", "sigs", "ids"])
 
 
 def _packer(parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, list] = ([], [])
         n = 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seq = sequence(word_hashes(t.as_py()), SIZE)
                 if i is None or len(seq) < LEAST:
                     continue
-                sig, spans = window_rows(seq)
-                for into, x in zip(held, (sig, np.full(len(sig), i, np.int64), spans), strict=True):
+                sig = window_signatures(seq)
+                for into, x in zip(held, (sig, np.full(len(sig), i, np.int64)), strict=True):
                     into.append(x)
                 n += len(sig)
                 if n >= PACK_AT_ONCE:
                     yield _packed(parts, *held)
-                    held, n = ([], [], []), 0
+                    held, n = ([], []), 0
         if held[0]:
             yield _packed(parts, *held)
 
@@ -106,37 +100,23 @@ def _packer(parts: int):
 def _tie(table: pa.Table) -> pa.Table:
     sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
     own = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
-    spans = np.frombuffer(b"".join(table["spans"].to_pylist()), np.int32).reshape(-1, 3)
     order = np.lexsort((own, sig))
-    sig, own, spans = sig[order], own[order], spans[order]
+    sig, own = sig[order], own[order]
     same = np.concatenate([[False], sig[1:] == sig[:-1]]) if len(sig) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(sig))))
     b = np.flatnonzero(same)
-    a = np.concatenate([first[b], b - 1])
-    b = np.concatenate([b, b])
-    keep = (own[a] != own[b]) & ~((np.arange(len(a)) >= len(a) // 2) & (first[b] == b - 1))
-    a, b = a[keep], b[keep]
-    ids = np.stack([own[a], own[b]], axis=1)
-    rows = np.concatenate([spans[a], spans[b][:, 1:]], axis=1)  # function, la, ra, lb, rb
-    order = np.lexsort((ids[:, 1], ids[:, 0]))
-    ids, rows = ids[order], rows[order]
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])) if len(ids) else np.zeros(0, np.int64)
-    ends = [*first[1:].tolist(), len(ids)]
-    return pa.table({"a": pa.array(ids[first, 0], pa.int64()), "b": pa.array(ids[first, 1], pa.int64()), "tied": pa.array([rows[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends, strict=False)], pa.binary())})
-
-
-def agreed(rows: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Joins windows that overlap in the first text: (la, ra, lb, rb) of each run of overlapping
-    windows on which NEED functions agree."""
-    rows = rows[np.argsort(rows[:, 1], kind="stable")]
-    reach = np.maximum.accumulate(rows[:, 2])
-    cut = np.flatnonzero(np.concatenate([[True], rows[1:, 1] > reach[:-1]]))
-    out = []
-    for lo, hi in zip(cut, [*cut[1:], len(rows)], strict=True):
-        part = rows[lo:hi]
-        if len(np.unique(part[:, 0])) >= NEED:
-            out.append((int(part[:, 1].min()), int(part[:, 2].max()), int(part[:, 3].min()), int(part[:, 4].max())))
-    return out
+    a, b = np.concatenate([first[b], b - 1]), np.concatenate([b, b])
+    return _pairs(own[a], own[b], sig[b])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, sig: np.ndarray) -> pa.Table:
+    """Distinct pairs of documents, with a bit for each function that ties them."""
+    keep = a != b
+    a, b, bit = a[keep], b[keep], np.int32(1) << (sig[keep] & _U(3)).astype(np.int32)
+    order = np.lexsort((b, a))
+    a, b, bit = a[order], b[order], bit[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64()), "agree": pa.array(np.bitwise_or.reduceat(bit, first) if len(a) else bit, pa.int32())})
 
 
 def _hit_runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -291,11 +271,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for a, b, tied, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-            for la, ra, lb, rb in agreed(np.frombuffer(b"".join(tied), np.int32).reshape(-1, 5)):
-                x, y = get(ta.as_py())[0][la : ra + 1], get(tb.as_py())[0][lb : rb + 1]
-                if len(x) and len(y):  # windows of other rows with the same ids may reach beyond these texts
-                    rows += _rows(a, b, [(la + lo, la + hi, lb + s, lb + e, v) for lo, hi, s, e, v in passages(indexed(x), indexed(y))])
+        for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            rows += _rows(a, b, passages(get(ta.as_py()), get(tb.as_py())))
         yield _results(rows)
 
 
@@ -319,17 +296,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = rows.mapInArrow(released(_packer(max(8, 2 * input_parts(rows)))), PACKED)
     ties = packed.groupBy("part").applyInArrow(_tie, TIES)
-    pairs = ties.groupBy("a", "b").agg(F.collect_list("tied").alias("tied"))
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [bool(agreed(np.frombuffer(b"".join(t), np.int32).reshape(-1, 5))) for t in batch.column(2).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    pairs = store(pairs.mapInArrow(released(several), "a bigint, b bigint, tied array<binary>"), "tied-pairs")
+    pairs = ties.groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("n")).where(F.col("n") >= NEED)
+    pairs = store(pairs.select("a", "b"), "tied-pairs")
     ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
     texts = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(small(ids), "id", "left_semi")
     texts = store(texts, "candidate-texts")
     right, left = texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "tied", "ta", "tb")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(released(_verify), RESULT)

@@ -254,3 +254,17 @@ def test_passages_in_another_order():
     one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(70)]
     got = substring_dedup.passages(_sequence(one + two), _sequence(two + one))
     assert [r[:4] for r in got] == [(0, 56, 70, 126), (60, 126, 0, 66)]
+
+
+def test_every_occurrence_of_a_passage(spark):
+    """An equal passage twice in one text and once in another, in both orders of the ids."""
+    rng = random.Random(41)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        passage = fresh(60)
+        twice, once = fresh(20) + passage + fresh(1000) + passage + fresh(20), fresh(40) + passage + fresh(30)
+        rows += [(2 * k + i, " ".join(w), "en", "a") for i, w in enumerate((twice, once) if k % 2 else (once, twice))]
+    got = substring_dedup.repeated_passages(make(spark, rows)).collect()
+    found = {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} | {(r["match_doc_id"], r["match_start"], r["match_end"]) for r in got}
+    assert found == {s for k in range(40) for a in [2 * k + (k % 2 == 0)] for s in ((a, 20, 80), (a, 1080, 1140), (4 * k + 1 - a, 40, 100))}
