@@ -6,11 +6,12 @@ same least shingle into one compact window (l, c, r): any stretch within [l, r]
 windows of LEAST shingles or more are kept, some 2 n / LEAST for each function. Two passages of a
 similarity s share the least shingle under a function with probability s; equal ones always do.
 
-Windows are matched by (function, least shingle). Within such a group each document is tied to the
-first and to the document before it, so ties grow with the group and not with its square. For each
-tied pair of documents the windows are joined where they overlap; stretches on which NEED functions
-or more agree are verified on the texts: the longest stretches whose shingle sets have a Jaccard
-similarity of 0.8 or more.
+Windows are matched by (function, least shingle). Documents that share NEED functions or more, wherever
+the windows stand, are verified on the whole texts: the longest stretches whose shingle sets have a
+Jaccard similarity of 0.8 or more. In groups of ALL_PAIRS documents or fewer all pairs count. In larger
+ones each document is tied to the first and to the one before it, which keeps pairs from growing with
+the square; as similarity is not transitive, the documents are then compared in blocks, all against
+all, for passages that cover shingles that the ties left open.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ from .shingles import mix, overlap, sequence, word_hashes
 SIZE, WORDS = 5, 50
 LEAST = WORDS - SIZE + 1
 FUNCTIONS, NEED = 4, 2
+#: Groups of more documents are compared in blocks; bounds the pairs that are rows.
+ALL_PAIRS = 8
+#: Characters in such a block; two blocks meet in a task.
+BLOCK_CHARS = 2_000_000
+#: Hits that a stretch has at least.
+LEAST_HITS = -(-8 * LEAST // 9)
 PERCENT = 80
 _U = np.uint64
 _SEEDS = [_U(0x9E3779B97F4A7C15 * (2 * j + 1) & 2**64 - 1) for j in range(FUNCTIONS)]
@@ -59,7 +66,7 @@ def window_signatures(seq: np.ndarray) -> np.ndarray:
 
 
 PACKED = "part int, sigs binary, ids binary"
-TIES = "a bigint, b bigint, agree int"
+TIES = "a bigint, b bigint, agree int, large boolean"
 
 
 #: Windows packed at once by a task; bounds its memory.
@@ -98,25 +105,37 @@ def _packer(parts: int):
 
 
 def _tie(table: pa.Table) -> pa.Table:
+    """Pairs of documents that share a signature: all pairs of a group of ALL_PAIRS documents or fewer;
+    of a larger one each document with the first and with the one before it. For a larger one there is
+    also a row (first, document, 0) for each document, the group to be exhausted."""
     sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
     own = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
-    same = np.concatenate([[False], sig[1:] == sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(sig))))
-    b = np.flatnonzero(same)
-    a, b = np.concatenate([first[b], b - 1]), np.concatenate([b, b])
-    return _pairs(own[a], own[b], sig[b])
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, sig: np.ndarray) -> pa.Table:
-    """Distinct pairs of documents, with a bit for each function that ties them."""
-    keep = a != b
-    a, b, bit = a[keep], b[keep], np.int32(1) << (sig[keep] & _U(3)).astype(np.int32)
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]) if len(sig) else np.zeros(0, bool)
+    sig, own = sig[fresh], own[fresh]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    held = np.diff(np.concatenate([start, [len(sig)]]))
+    first, large = np.repeat(start, held), np.repeat(held > ALL_PAIRS, held)
+    every = np.arange(len(sig))
+    a, b = [], []
+    for d in range(1, ALL_PAIRS):
+        at = every[(every - d >= first) & (~large | (d == 1))]
+        a.append(at - d)
+        b.append(at)
+    rest = every[large & (every > first)]
+    a, b = np.concatenate([*a, first[rest]]), np.concatenate([*b, rest])
+    return _pairs(np.concatenate([own[a], own[first[rest]]]), np.concatenate([own[b], own[rest]]), np.concatenate([np.int32(1) << (sig[b] & _U(3)).astype(np.int32), np.zeros(len(rest), np.int32)]))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, bit: np.ndarray) -> pa.Table:
+    """Distinct pairs of documents, with a bit for each function that ties them, and whether they stand
+    in a group to be exhausted."""
     order = np.lexsort((b, a))
     a, b, bit = a[order], b[order], bit[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64()), "agree": pa.array(np.bitwise_or.reduceat(bit, first) if len(a) else bit, pa.int32())})
+    agree, large = (np.bitwise_or.reduceat(bit, first), np.logical_or.reduceat(bit == 0, first)) if len(a) else (bit, bit == 0)
+    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64()), "agree": pa.array(agree.astype(np.int32), pa.int32()), "large": pa.array(large, pa.bool_())})
 
 
 def _hit_runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -285,22 +304,113 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names=names)
 
 
+def uncovered(ids: list[int], seqs: list[np.ndarray], spans: list[list[tuple[int, int]]], sides: list[int] | None = None) -> list[tuple]:
+    """Rows of passages between texts in the order of their ids, all against all, until no passage is
+    left that covers a shared shingle outside ``spans`` and the rows. With ``sides`` only texts of
+    different sides are compared. Common shingles are counted over an inverted index."""
+    counted = [np.unique(x, return_counts=True) for x in seqs]
+    sizes = np.array([len(s) for s, _ in counted], np.int64)
+    every = np.concatenate([np.zeros(0, np.uint64), *[s for s, _ in counted]])
+    times = np.concatenate([np.zeros(0, np.int64), *[n for _, n in counted]])
+    owner = np.repeat(np.arange(len(seqs)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, times, owner = every[order], times[order], owner[order]
+    name, side = np.array(ids), None if sides is None else np.array(sides)
+    covered = [np.zeros(len(x), bool) for x in seqs]
+    for k, at in enumerate(spans):
+        for s, e in at:
+            covered[k][s:e] = True
+
+    def held(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the index each of the shingles stands, and which of them it is."""
+        lo, n = np.searchsorted(every, s, "left"), 0
+        n = np.searchsorted(every, s, "right") - lo
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), np.repeat(np.arange(len(s)), n)
+
+    known: OrderedDict[int, Text] = OrderedDict()
+
+    def get(k: int) -> Text:
+        known[k] = known.pop(k, None) or indexed(seqs[k])
+        if len(known) > 64:
+            known.popitem(last=False)
+        return known[k]
+
+    out, done = [], set()
+    for k in range(len(seqs)):
+        mine = np.unique(seqs[k][~covered[k]])
+        if not len(mine):
+            continue
+        other = np.bincount(owner[held(mine)[0]], minlength=len(seqs)) > 0
+        other &= name != name[k]
+        if side is not None:
+            other &= side != side[k]
+        if not other.any():
+            continue
+        at, which = held(counted[k][0])
+        hits = np.maximum(np.bincount(owner[at], times[at], len(seqs)), np.bincount(owner[at], counted[k][1][which], len(seqs)))
+        other = np.flatnonzero(other & (hits >= LEAST_HITS))
+        for j in other[np.argsort(-hits[other], kind="stable")].tolist():
+            i, j = min(k, j), max(k, j)
+            if (i, j) in done or overlap(mine, counted[i + j - k][0]) == 0:
+                continue
+            done.add((i, j))
+            fresh = []
+            for r in passages(get(i), get(j)):
+                if not (covered[i][r[0] : r[1]].all() and covered[j][r[2] : r[3]].all()):
+                    covered[i][r[0] : r[1]] = covered[j][r[2] : r[3]] = True
+                    fresh.append(r)
+            if fresh:
+                out += _rows(ids[i], ids[j], fresh)
+                mine = np.unique(seqs[k][~covered[k]])
+                if not len(mine):
+                    break
+    return out
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of 50 words or more that two documents share with a similarity of 0.8 or more:
     doc_id, start_word, end_word (excluded), match_doc_id (smaller), match_start, match_end, similarity.
 
-    Each document is tied to the first and to the one before it among those that share a passage, not
-    to all. Null text counts as empty; shorter texts and rows without id have no passages; rows with the
+    Every passage is covered by rows, but in groups of more than ALL_PAIRS documents not every match of
+    it is a row. Null text counts as empty; shorter texts and rows without id have no passages; rows with the
     same id are not compared with each other. No passages or an empty table give no rows; other columns
     are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = rows.mapInArrow(released(_packer(max(8, 2 * input_parts(rows)))), PACKED)
     ties = packed.groupBy("part").applyInArrow(_tie, TIES)
-    pairs = ties.groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("n")).where(F.col("n") >= NEED)
-    pairs = store(pairs.select("a", "b"), "tied-pairs")
-    ids = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
+    ties = ties.groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("n"), F.max("large").alias("large"))
+    ties = store(ties.where(F.col("large") | (F.col("n") >= NEED)), "ties")
+    pairs, groups = ties.where(F.col("n") >= NEED).select("a", "b"), ties.where("large").select("a", "b")
+    ids = store(ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct(), "candidates")
     texts = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(small(ids), "id", "left_semi")
     texts = store(texts, "candidate-texts")
     right, left = texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(released(_verify), RESULT)
+    found = store(both.mapInArrow(released(_verify), RESULT), "passages")
+    return found.unionByName(_exhaust(groups, texts, found)).distinct()
+
+
+def _exhaust(groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Passages between the documents of large groups, as far as they cover what none in ``found``
+    does. Groups with the same first document are put together and cut into blocks of BLOCK_CHARS;
+    every two blocks meet in one task."""
+    group = groups.select(F.col("a").alias("leader"), F.col("b").alias("id")).unionByName(groups.select(F.col("a").alias("leader"), F.col("a").alias("id"))).distinct()
+    sizes = texts.select("id", F.length("t").cast("long").alias("n"))
+    group = store(group.join(small(store(sizes.groupBy("id").agg(F.sum("n").alias("n")), "lengths")), "id"), "group-members")
+    total = group.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_CHARS).alias("blocks"))
+    group = group.join(total, "leader").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    group = group.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = group.select("leader", "id", "own", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
+    spans = found.select(F.col("doc_id").alias("id"), F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")).alias("x"))
+    spans = spans.unionByName(found.select(F.col("match_doc_id").alias("id"), F.struct(F.col("match_start").alias("s"), F.col("match_end").alias("e")).alias("x")))
+    spans = spans.groupBy("id").agg(F.collect_set("x").alias("spans"))
+    rows = group.join(texts.join(spans, "id", "left"), "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        seqs = [sequence(word_hashes(t.as_py()), SIZE) for t in table["t"]]
+        spans = [[(x["s"], x["e"] - SIZE + 1) for x in xs or []] for xs in table["spans"].to_pylist()]
+        cross = table["p"][0].as_py() != table["q"][0].as_py()
+        return pa.Table.from_batches([_results(uncovered(table["id"].to_pylist(), seqs, spans, table["own"].to_pylist() if cross else None))])
+
+    return rows.groupBy("leader", "p", "q").applyInArrow(compare, RESULT)

@@ -268,3 +268,40 @@ def test_every_occurrence_of_a_passage(spark):
     got = substring_dedup.repeated_passages(make(spark, rows)).collect()
     found = {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} | {(r["match_doc_id"], r["match_start"], r["match_end"]) for r in got}
     assert found == {s for k in range(40) for a in [2 * k + (k % 2 == 0)] for s in ((a, 20, 80), (a, 1080, 1140), (4 * k + 1 - a, 40, 100))}
+
+
+def test_partners_in_large_groups(spark, monkeypatch):
+    """Edited copies of a passage, in surroundings of their own: each with a similar partner is found,
+    by pairs of small groups or by blocks."""
+    rng = random.Random(51)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(30):
+        passage = fresh(100)
+        for _ in range(16):
+            w = passage[:]
+            for at in rng.sample(range(100), 4):
+                w[at] = fresh(1)[0]
+            rows.append((len(rows), " ".join(fresh(60) + w + fresh(60)), "en", "a"))
+    texts = [_sequence(t.split()) for _, t, *_ in rows]
+    want = {i for k in range(0, len(rows), 16) for p in itertools.combinations(range(k, k + 16), 2) if substring_dedup.passages(*(texts[i] for i in p)) for i in p}
+    for all_pairs, block in ((8, 2_000_000), (2, 3000)):
+        monkeypatch.setattr(substring_dedup, "ALL_PAIRS", all_pairs)
+        monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", block)
+        got = substring_dedup.repeated_passages(make(spark, rows)).collect()
+        found = {r["doc_id"] for r in got} | {r["match_doc_id"] for r in got}
+        print(len(want), len(want & found), len(got))
+        assert want <= found
+
+
+def test_uncovered_passages_in_blocks():
+    """Not transitive: the first and the third of a chain are apart, the second meets either."""
+    words = [f"p{k}" for k in range(200)]
+    texts = [words[:100], words[8:108], words[16:116], [f"q{k}" for k in range(90)]]
+    seqs = [sequence(word_hashes(" ".join(t))) for t in texts]
+    none = [[] for _ in texts]
+    assert {(r[0], r[3]) for r in substring_dedup.uncovered([1, 2, 3, 4], seqs, none)} >= {(2, 1), (3, 2)}
+    whole = [[(0, 96)]] * 4
+    assert substring_dedup.uncovered([1, 2, 3, 4], seqs, whole) == []
+    assert {(r[0], r[3]) for r in substring_dedup.uncovered([1, 2, 3, 4], seqs, none, [0, 0, 1, 1])} == {(3, 2)} | {(3, 1)}
+    assert substring_dedup.uncovered([7, 7], seqs[:2], none[:2]) == []
