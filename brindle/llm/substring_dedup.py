@@ -371,7 +371,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of 50 words or more that two documents share with a similarity of 0.8 or more:
     doc_id, start_word, end_word (excluded), match_doc_id (smaller), match_start, match_end, similarity.
 
-    Every passage is covered by rows, but in groups of more than ALL_PAIRS documents not every match of
+    Of the documents that windows bring together (see above: with a probability), every passage that is
+    verified is covered by rows, but in groups of more than ALL_PAIRS documents not every match of
     it is a row. Null text counts as empty; shorter texts and rows without id have no passages; rows with the
     same id are not compared with each other. No passages or an empty table give no rows; other columns
     are not read."""
