@@ -1,85 +1,122 @@
 """Near-duplicate passages by compact windows.
 
-A text is its sequence of 5-word shingles, as 64-bit hashes. Under one hash function, every
-stretch of it has a least shingle; the Cartesian tree over the hashes groups all stretches with the
-same least shingle into one compact window (l, c, r): any stretch within [l, r] that holds c. Only
-windows of LEAST shingles or more are kept, some 2 n / LEAST for each function. Two passages of a
-similarity s share the least shingle under a function with probability s; equal ones always do.
-
-Windows are matched by (function, least shingle). Documents that share NEED functions or more, wherever
-the windows stand, are verified on the whole texts: the longest stretches whose shingle sets have a
-Jaccard similarity of 0.8 or more. In groups of ALL_PAIRS documents or fewer all pairs count. In larger
-ones each document is tied to the first and to the one before it, which keeps pairs from growing with
-the square; as similarity is not transitive, the documents are then compared in blocks, all against
-all, for passages that cover shingles that the ties left open.
+A text is its sequence of 5-word shingles, as 64-bit hashes. Under one hash function every stretch of it
+has a least shingle; the Cartesian tree over the hashes groups all stretches with the same least shingle
+into one compact window (l, c, r): any stretch within [l, r] that holds c. Only windows of LEAST shingles or
+more are kept. Two passages of similarity s share the least shingle under one of FUNCTIONS functions with
+probability 1 - (1 - s) ^ FUNCTIONS, which is 0.99 at 0.8; equal ones always do.
+
+1. Equal texts are folded into the one with the smallest id.
+2. Windows are matched by signature (function and least shingle). Signatures that one text alone has end here.
+3. For each shared signature the shingles around its places are sent, REACH to either side, which is as far as a
+   passage of LEAST shingles through that place goes. Around equal places the intervals join: windows
+   of a signature that have a passage of 50 words and a Jaccard similarity of 0.8 through it are linked.
+   A window without enough shingles that others have as well is set aside; of the others, each is compared
+   with every window that it is not already joined with, until none is open.
+4. The verified stretches of a document that overlap are one region; links join regions into classes.
+
+A signature of more than BLOCK documents is cut into blocks, and every two blocks meet in a task. Where many
+windows of one packing task share a signature, they are dealt over all tasks, and only their number goes to
+the signature's own. Nothing is left out by either.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_parts, released, small, store
+from .common import input_parts, n_words, released, small, store
+from .components import components
 from .ngram_join import _runs as runs
 from .shingles import mix, overlap, sequence, word_hashes
 
 SIZE, WORDS = 5, 50
 LEAST = WORDS - SIZE + 1
-FUNCTIONS, NEED = 4, 2
-#: Groups of more documents are compared in blocks; bounds the pairs that are rows.
-ALL_PAIRS = 8
-#: Characters in such a block; two blocks meet in a task.
-BLOCK_CHARS = 2_000_000
-#: Hits that a stretch has at least.
-LEAST_HITS = -(-8 * LEAST // 9)
+FUNCTIONS = 3
 PERCENT = 80
+#: Shingles to either side of a shared one.
+REACH = LEAST - 1
+#: Common shingles of two sides of LEAST shingles at a similarity of 0.8; longer sides have more.
+LEAST_HITS = -(-8 * LEAST // 9)
+#: Documents of one signature that a task takes on either side of a comparison; bounds its memory.
+BLOCK = 8192
+#: Windows packed at once by a task; bounds its memory.
+PACK_AT_ONCE = 300_000
+#: Documents of one signature among those, beyond which they are dealt over all tasks.
+LOCAL_HOT = 32
+#: Children of a node in the trees that join the members of a component; keeps hubs from forming.
+FANOUT = 64
 _U = np.uint64
 _SEEDS = [_U(0x9E3779B97F4A7C15 * (2 * j + 1) & 2**64 - 1) for j in range(FUNCTIONS)]
 
 
 def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(l, c, r), both ends included, of the Cartesian tree's nodes that span ``least`` or more."""
+    """(l, c, r), both ends included, of the tree's nodes that span ``least`` or more; c is the first place
+    of the least value. All its places part the node at once, so that the depth follows the number of
+    distinct values: expected n log n steps of numpy, however repetitive the text."""
     out, todo = [], [(0, len(h))]
     while todo:
         lo, hi = todo.pop()
         if hi - lo < least:
             continue
-        c = lo + int(h[lo:hi].argmin())
+        part = h[lo:hi]
+        c = lo + int(part.argmin())
         out.append((lo, c, hi - 1))
-        todo.append((lo, c))
-        todo.append((c + 1, hi))
+        at = np.flatnonzero(part == h[c])
+        if len(at) == 1:
+            todo.append((lo, c))
+            todo.append((c + 1, hi))
+            continue
+        ends = np.concatenate([at + lo, [hi]])
+        starts = np.concatenate([[lo], at + lo + 1])
+        long = ends - starts >= least
+        todo += zip(starts[long].tolist(), ends[long].tolist(), strict=True)
     return out
 
 
+def hashed(seq: np.ndarray, j: int) -> np.ndarray:
+    """Signatures of all shingles under function j; the two low bits are its number."""
+    return mix(seq ^ _SEEDS[j]) & ~_U(3) | _U(j)
+
+
 def window_signatures(seq: np.ndarray) -> np.ndarray:
-    """The distinct signatures of a text's windows; the two low bits are the function's number."""
+    """The distinct signatures of a text's windows."""
     sigs = []
-    for j, seed in enumerate(_SEEDS):
-        h = mix(seq ^ seed)
-        sigs.append(np.unique(h[[c for _, c, _ in compact_windows(h)]]) & ~_U(3) | _U(j))
+    for j in range(FUNCTIONS):
+        h = hashed(seq, j)
+        sigs.append(np.unique(h[[c for _, c, _ in compact_windows(h)]]))
     return np.concatenate(sigs)
 
 
-PACKED = "part int, sigs binary, ids binary"
-TIES = "a bigint, b bigint, agree int, large boolean"
-
-
-#: Windows packed at once by a task; bounds its memory.
-PACK_AT_ONCE = 300_000
+PACKED = "part int, kind int, sigs binary, ids binary"
+PLAIN, HOT, COUNT = 0, 1, 2
 
 
 def _packed(parts: int, sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    """Signatures with their documents by part. Of a signature with more than LOCAL_HOT of them one goes
+    to the signature's part, with the number of the others, which are dealt over all parts."""
     sig, own = np.concatenate(sigs), np.concatenate(owners)
-    part = ((sig >> _U(2)) % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, sig, own = part[order], sig[order], own[order]
-    at = runs(part)
-    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in at], pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own)]], names=["part", "sigs", "ids"])
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
+    sig, own = sig[fresh], own[fresh]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    held = np.diff(np.concatenate([np.flatnonzero(first), [len(sig)]]))
+    hot = np.repeat(held > LOCAL_HOT, held) & ~first
+    home = lambda s: ((s >> _U(2)) % _U(parts)).astype(np.int64)
+    many = held > LOCAL_HOT
+    count_sig, count = sig[first][many], held[many] - 1
+    part = np.concatenate([home(sig[~hot]), (mix(sig[hot] ^ own[hot].view(np.uint64)) % _U(parts)).astype(np.int64), home(count_sig)])
+    kind = np.concatenate([np.full((~hot).sum(), PLAIN), np.full(hot.sum(), HOT), np.full(len(count), COUNT)])
+    sig, own = np.concatenate([sig[~hot], sig[hot], count_sig]), np.concatenate([own[~hot], own[hot], count])
+    order = np.argsort(part * 4 + kind, kind="stable")
+    part, kind, sig, own = part[order], kind[order], sig[order], own[order]
+    at = runs(part * 4 + kind)
+    return pa.RecordBatch.from_arrays([pa.array([int(x[a]) for a, _ in at], pa.int32()) for x in (part, kind)] + [pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (sig, own.astype(np.int64))], names=["part", "kind", "sigs", "ids"])
 
 
 def _packer(parts: int):
@@ -89,7 +126,7 @@ def _packer(parts: int):
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seq = sequence(word_hashes(t.as_py()), SIZE)
-                if i is None or len(seq) < LEAST:
+                if len(seq) < LEAST:
                     continue
                 sig = window_signatures(seq)
                 for into, x in zip(held, (sig, np.full(len(sig), i, np.int64)), strict=True):
@@ -104,38 +141,242 @@ def _packer(parts: int):
     return pack
 
 
-def _tie(table: pa.Table) -> pa.Table:
-    """Pairs of documents that share a signature: all pairs of a group of ALL_PAIRS documents or fewer;
-    of a larger one each document with the first and with the one before it. For a larger one there is
-    also a row (first, document, 0) for each document, the group to be exhausted."""
-    sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
-    own = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
+GROUPS = "sig bigint, id bigint, m bigint"
+
+
+def _groups(table: pa.Table) -> pa.Table:
+    """(signature, document, documents of the signature) where there are two or more. Of dealt signatures
+    also a row (signature, null, documents), and of the documents dealt elsewhere (signature, document, null)."""
+    kinds = np.array(table["kind"].to_pylist())
+    a, b = table["sigs"].to_pylist(), table["ids"].to_pylist()
+
+    def read(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(kinds == kind)
+        return np.frombuffer(b"".join(a[k] for k in at), np.uint64), np.frombuffer(b"".join(b[k] for k in at), np.int64)
+
+    sig, own = read(PLAIN)
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]) if len(sig) else np.zeros(0, bool)
     sig, own = sig[fresh], own[fresh]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    held = np.diff(np.concatenate([start, [len(sig)]]))
-    first, large = np.repeat(start, held), np.repeat(held > ALL_PAIRS, held)
-    every = np.arange(len(sig))
-    a, b = [], []
-    for d in range(1, ALL_PAIRS):
-        at = every[(every - d >= first) & (~large | (d == 1))]
-        a.append(at - d)
-        b.append(at)
-    rest = every[large & (every > first)]
-    a, b = np.concatenate([*a, first[rest]]), np.concatenate([*b, rest])
-    return _pairs(np.concatenate([own[a], own[first[rest]]]), np.concatenate([own[b], own[rest]]), np.concatenate([np.int32(1) << (sig[b] & _U(3)).astype(np.int32), np.zeros(len(rest), np.int32)]))
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, bit: np.ndarray) -> pa.Table:
-    """Distinct pairs of documents, with a bit for each function that ties them, and whether they stand
-    in a group to be exhausted."""
-    order = np.lexsort((b, a))
-    a, b, bit = a[order], b[order], bit[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    agree, large = (np.bitwise_or.reduceat(bit, first), np.logical_or.reduceat(bit == 0, first)) if len(a) else (bit, bit == 0)
-    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64()), "agree": pa.array(agree.astype(np.int32), pa.int32()), "large": pa.array(large, pa.bool_())})
+    name, first, m = np.unique(sig, return_index=True, return_counts=True)
+    dealt, n = read(COUNT)
+    total = m.copy()
+    np.add.at(total, np.searchsorted(name, dealt), n)
+    keep = np.repeat(total > 1, m)
+    dealt = np.unique(dealt)
+    hot, elsewhere = read(HOT)
+    return pa.table({
+        "sig": pa.array(np.concatenate([sig[keep], dealt, hot]).view(np.int64)),
+        "id": pa.concat_arrays([pa.array(own[keep]), pa.nulls(len(dealt), pa.int64()), pa.array(elsewhere)]),
+        "m": pa.concat_arrays([pa.array(np.repeat(total, m)[keep].astype(np.int64)), pa.array(total[np.searchsorted(name, dealt)].astype(np.int64)), pa.nulls(len(hot), pa.int64())]),
+    })
+
+
+SURROUNDINGS = "key bigint, doc bigint, off int, shingles binary, places binary"
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted signature of a text the shingles around its places (the low halves of their hashes);
+    places with the same surroundings in one text share a row. Of a signature in b blocks a document goes
+    to the b pairs with its own."""
+    for batch in batches:
+        keys, docs, offs, around, places = [], [], [], [], []
+
+        def row(key: int, doc: int, off: int, held: bytes, at: list[int]) -> None:
+            keys.append(key), docs.append(doc), offs.append(off), around.append(held), places.append(np.array(at, np.int32).tobytes())
+
+        for i, t, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            seq = sequence(word_hashes(t.as_py()), SIZE)
+            if len(seq) < LEAST:
+                continue
+            values = lists.values
+            sig, blocks = np.array(values.field(0)).view(np.uint64), np.array(values.field(1))
+            order = np.argsort(sig)
+            sig, blocks = sig[order], blocks[order]
+            low = seq.astype(np.uint32)
+            by: dict[tuple[int, int, bytes], list[int]] = {}
+            for j in range(FUNCTIONS):
+                h = hashed(seq, j)
+                at = np.minimum(np.searchsorted(sig, h), len(sig) - 1)
+                for c in np.flatnonzero(sig[at] == h).tolist():
+                    by.setdefault((int(at[c]), min(REACH, c), low[max(0, c - REACH) : c + REACH + 1].tobytes()), []).append(c)
+            for (k, off, held), at in by.items():
+                if blocks[k] == 1:
+                    row(int(sig[k].view(np.int64)), i, off, held, at)
+                    continue
+                own = hash(i) % int(blocks[k])
+                for other in range(int(blocks[k])):
+                    pair = np.array([min(own, other) * int(blocks[k]) + max(own, other)], np.uint64)
+                    row(int((mix(pair + _U(1)) ^ sig[k]).view(np.int64)[0]), i, off, held, at)
+            if len(keys) >= 20_000:
+                yield _arrow(SURROUNDINGS, keys, docs, offs, around, places)
+                keys, docs, offs, around, places = [], [], [], [], []
+        yield _arrow(SURROUNDINGS, keys, docs, offs, around, places)
+
+
+def _arrow(schema: str, *columns) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, types[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def supported(key: np.ndarray, row: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row, its entries whose key also stands in a row of another component and document."""
+    order = np.argsort(key, kind="stable")
+    k, r = key[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    held = np.diff(np.concatenate([first, [len(k)]]))
+    ok = np.ones(len(first), bool)
+    for name in (comp, doc):
+        of = name[r]
+        ok &= np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
+    return np.bincount(r, np.repeat(ok, held), len(comp))
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows of surroundings (0: nothing), the longest stretch through the middle that begins
+    and ends with equal shingles and of which eight ninths or more are equal: first and last column."""
+    same = (a == b) & (a != 0)
+    score = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(np.where(same, 1, -8), axis=1, dtype=np.int32)], axis=1)
+    best, lo, hi = np.zeros(len(a), np.int32), np.full(len(a), REACH), np.full(len(a), REACH)
+    columns = np.arange(REACH, 2 * REACH + 1)
+    for i in range(REACH + 1):
+        ok = same[:, REACH:] & (score[:, REACH + 1 :] >= score[:, i : i + 1]) & same[:, i : i + 1]
+        last = np.where(ok, columns, -1).max(axis=1)
+        longer = (last - i + 1 > best) & (last >= 0)
+        best[longer], lo[longer], hi[longer] = last[longer] - i + 1, i, last[longer]
+    return lo, hi
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = set(a.tolist()), set(b.tolist())
+    common = len(x & y)
+    return common / (len(x) + len(y) - common) if common else 0.0
+
+
+def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Components of the rows of each group and the links found: (row, lo, hi, row, lo, hi, similarity), in
+    columns. A row is done when it was compared with all rows that it was not joined with by then."""
+    comp = np.arange(len(doc))
+    alive = np.ones(len(doc), bool)
+    links: list[tuple] = []
+    filled = around != 0
+    while True:
+        row, col = np.nonzero(filled & alive[:, None])
+        if not len(row):
+            return comp, links
+        key = group[row].astype(np.uint64) << _U(32) | around[row, col]
+        support = supported(key, row, comp, doc)
+        alive &= support >= LEAST_HITS
+        rest = np.flatnonzero(alive)
+        if len(rest) < 2:
+            return comp, links
+        order = rest[np.lexsort((rest, -support[rest], group[rest]))]
+        first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        leader = np.full(int(group.max()) + 1, -1)
+        leader[group[order[first]]] = order[first]
+        of = leader[group]
+        open_ = alive & (of >= 0) & (comp != comp[of]) & (doc != doc[of])
+        lead = np.zeros(len(doc), bool)
+        lead[order[first]] = True
+        held = np.unique(key[lead[row]])
+        mine = open_[row]
+        at = np.minimum(np.searchsorted(held, key[mine]), len(held) - 1)
+        hits = np.bincount(row[mine], held[at] == key[mine], len(doc))
+        found = []
+        near = np.flatnonzero(open_ & (hits >= LEAST_HITS))
+        for at in range(0, len(near), 4096):
+            part = near[at : at + 4096]
+            lo, hi = aligned(around[part], around[of[part]])
+            for x, l, h in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                got = _verified(around, x, int(of[x]), l, h, int(hits[x]))
+                if got:
+                    found.append((x, got[0], got[1], int(of[x]), got[2], got[3], got[4]))
+        links += found
+        alive[order[first]] = False
+        for x, *_, y, _, _, _ in found:
+            if comp[x] != comp[y]:
+                comp[comp == comp[x]] = comp[y]
+
+
+def _verified(around: np.ndarray, x: int, y: int, lo: int, hi: int, hits: int = 0) -> tuple[int, int, int, int, float] | None:
+    """A passage of LEAST shingles or more through the middle of both rows: the aligned stretch or, where
+    that is none or many common shingles (``hits``) lie outside it, as words were put in or left out, the
+    longest of all."""
+    a, b = around[x], around[y]
+    found = []
+    if hi - lo + 1 >= LEAST:
+        s = 1.0 if (a[lo : hi + 1] == b[lo : hi + 1]).all() else similarity(a[lo : hi + 1], b[lo : hi + 1])
+        if 100 * s >= PERCENT:
+            found.append((lo, hi, lo, hi, s))
+    if not found or hits - (hi - lo + 1) >= 2 * SIZE:
+        (one, off), (two, shift) = ((r[r != 0], int(np.flatnonzero(r)[0])) for r in (a, b))
+        for l, h, m, n, s in passages(indexed(one), indexed(two)):
+            if l + off <= REACH < h + off and m + shift <= REACH < n + shift:
+                found.append((l + off, h + off - 1, m + shift, n + shift - 1, s))
+    return max(found, key=lambda p: (p[1] - p[0], p[4]), default=None)
+
+
+NODES = "node bigint, doc bigint, lo bigint, hi bigint, up bigint, sim double, plo bigint, phi bigint, mdoc bigint, mlo bigint, mhi bigint"
+
+
+def _node(doc: int, place: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b"%d:%d" % (doc, place)) - 2**63
+
+
+def _compared(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+    """The nodes of whole groups: a node is a stretch of a document, verified against another (plo to phi
+    there is mlo to mhi in mdoc), with its parent in a tree over its component."""
+    around = np.zeros((len(rows), 2 * REACH + 1), np.uint32)
+    for k, (_, _, off, held, _) in enumerate(rows):
+        x = np.frombuffer(held, np.uint32)
+        around[k, REACH - off : REACH - off + len(x)] = np.where(x == 0, 1, x)
+    _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+    doc = np.array([r[1] for r in rows], np.int64)
+    comp, links = linked(around, group, doc)
+    best: dict[int, tuple] = {}
+    reach: dict[int, tuple[int, int]] = {}
+    for x, lx, hx, y, ly, hy, s in links:
+        for a, la, ha, b, lb, hb in ((x, lx, hx, y, ly, hy), (y, ly, hy, x, lx, hx)):
+            best[a] = max(best.get(a, (0.0,)), (s, ha - la, b, la, ha, lb, hb))
+            lo, hi = reach.get(a, (la, ha))
+            reach[a] = min(lo, la), max(hi, ha)
+    places = {k: np.frombuffer(rows[k][4], np.int32).astype(np.int64) - REACH for k in reach}
+    out: list[tuple] = []
+    members: dict[int, list[int]] = {}
+    for k in sorted(reach):
+        tree = members.setdefault(int(comp[k]), [])
+        s, _, other, la, ha, lb, hb = best[k]
+        lo, hi = reach[k]
+        starts, ends = places[k] + lo, places[k] + hi
+        cut = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1]))
+        last = np.concatenate([cut[1:] - 1, [len(starts) - 1]])
+        there = int(places[other][0])
+        for c, e in zip(cut.tolist(), last.tolist(), strict=True):
+            node, at = _node(rows[k][1], int(places[k][c]) + REACH), int(places[k][c])
+            up = tree[(len(tree) - 1) // FANOUT] if tree else node
+            tree.append(node)
+            out.append((node, rows[k][1], int(starts[c]), int(ends[e]), up, s, at + la, at + ha, rows[other][1], there + lb, there + hb))
+    return _arrow(NODES, *(zip(*out, strict=True) if out else [[]] * 11))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; groups are taken together as they are complete."""
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+        if len(held) >= BLOCK:
+            cut = len(held)
+            while cut and held[cut - 1][0] == held[-1][0]:
+                cut -= 1
+            if cut:
+                yield _compared(held[:cut])
+                held = held[cut:]
+    if held:
+        yield _compared(held)
 
 
 def _hit_runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -274,144 +515,67 @@ def overlap_mask(p: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return ranked[at] == p
 
 
-RESULT = "doc_id bigint, start_word bigint, end_word bigint, match_doc_id bigint, match_start bigint, match_end bigint, similarity double"
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    recent: OrderedDict[str, Text] = OrderedDict()
-
-    def get(t: str) -> Text:
-        s = recent.pop(t, None)
-        s = indexed(sequence(word_hashes(t), SIZE)) if s is None else s
-        recent[t] = s
-        if len(recent) > 8:
-            recent.popitem(last=False)
-        return s
-
-    for batch in batches:
-        rows = []
-        for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            rows += _rows(a, b, passages(get(ta.as_py()), get(tb.as_py())))
-        yield _results(rows)
-
-
-def _rows(a: int, b: int, found: list[tuple[int, int, int, int, float]]) -> list[tuple]:
-    return [(b, s2, e2 + SIZE - 1, a, s1, e1 + SIZE - 1, round(v, 6)) for s1, e1, s2, e2, v in found]
-
-
-def _results(rows: list[tuple]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names=names)
-
-
-def uncovered(ids: list[int], seqs: list[np.ndarray], spans: list[list[tuple[int, int]]], sides: list[int] | None = None) -> list[tuple]:
-    """Rows of passages between texts in the order of their ids, all against all, until no passage is
-    left that covers a shared shingle outside ``spans`` and the rows. With ``sides`` only texts of
-    different sides are compared. Common shingles are counted over an inverted index."""
-    counted = [np.unique(x, return_counts=True) for x in seqs]
-    sizes = np.array([len(s) for s, _ in counted], np.int64)
-    every = np.concatenate([np.zeros(0, np.uint64), *[s for s, _ in counted]])
-    times = np.concatenate([np.zeros(0, np.int64), *[n for _, n in counted]])
-    owner = np.repeat(np.arange(len(seqs)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, times, owner = every[order], times[order], owner[order]
-    name, side = np.array(ids), None if sides is None else np.array(sides)
-    covered = [np.zeros(len(x), bool) for x in seqs]
-    for k, at in enumerate(spans):
-        for s, e in at:
-            covered[k][s:e] = True
-
-    def held(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the index each of the shingles stands, and which of them it is."""
-        lo, n = np.searchsorted(every, s, "left"), 0
-        n = np.searchsorted(every, s, "right") - lo
-        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), np.repeat(np.arange(len(s)), n)
-
-    known: OrderedDict[int, Text] = OrderedDict()
-
-    def get(k: int) -> Text:
-        known[k] = known.pop(k, None) or indexed(seqs[k])
-        if len(known) > 64:
-            known.popitem(last=False)
-        return known[k]
-
-    out, done = [], set()
-    for k in range(len(seqs)):
-        mine = np.unique(seqs[k][~covered[k]])
-        if not len(mine):
-            continue
-        other = np.bincount(owner[held(mine)[0]], minlength=len(seqs)) > 0
-        other &= name != name[k]
-        if side is not None:
-            other &= side != side[k]
-        if not other.any():
-            continue
-        at, which = held(counted[k][0])
-        hits = np.maximum(np.bincount(owner[at], times[at], len(seqs)), np.bincount(owner[at], counted[k][1][which], len(seqs)))
-        other = np.flatnonzero(other & (hits >= LEAST_HITS))
-        for j in other[np.argsort(-hits[other], kind="stable")].tolist():
-            i, j = min(k, j), max(k, j)
-            if (i, j) in done or overlap(mine, counted[i + j - k][0]) == 0:
-                continue
-            done.add((i, j))
-            fresh = []
-            for r in passages(get(i), get(j)):
-                if not (covered[i][r[0] : r[1]].all() and covered[j][r[2] : r[3]].all()):
-                    covered[i][r[0] : r[1]] = covered[j][r[2] : r[3]] = True
-                    fresh.append(r)
-            if fresh:
-                out += _rows(ids[i], ids[j], fresh)
-                mine = np.unique(seqs[k][~covered[k]])
-                if not len(mine):
-                    break
-    return out
+def copies(rows: DataFrame) -> DataFrame:
+    """id, h (hash of the text) and the smallest id of the rows with equal texts, for the other ids."""
+    told = store(rows.select("id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest")), "text-digests")
+    groups = told.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep")
+    return store(told.join(small(store(groups, "copied-texts")), "digest").where("id != rep").select("id", "h", "rep").distinct(), "text-copies")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages of 50 words or more that two documents share with a similarity of 0.8 or more:
-    doc_id, start_word, end_word (excluded), match_doc_id (smaller), match_start, match_end, similarity.
-
-    Of the documents that windows bring together (see above: with a probability), every passage that is
-    verified is covered by rows, but in groups of more than ALL_PAIRS documents not every match of
-    it is a row. Null text counts as empty; shorter texts and rows without id have no passages; rows with the
-    same id are not compared with each other. No passages or an empty table give no rows; other columns
-    are not read."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = rows.mapInArrow(released(_packer(max(8, 2 * input_parts(rows)))), PACKED)
-    ties = packed.groupBy("part").applyInArrow(_tie, TIES)
-    ties = ties.groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("n"), F.max("large").alias("large"))
-    ties = store(ties.where(F.col("large") | (F.col("n") >= NEED)), "ties")
-    pairs, groups = ties.where(F.col("n") >= NEED).select("a", "b"), ties.where("large").select("a", "b")
-    ids = store(ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct(), "candidates")
-    texts = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(small(ids), "id", "left_semi")
-    texts = store(texts, "candidate-texts")
-    right, left = texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    found = store(both.mapInArrow(released(_verify), RESULT), "passages")
-    return found.unionByName(_exhaust(groups, texts, found)).distinct()
-
-
-def _exhaust(groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Passages between the documents of large groups, as far as they cover what none in ``found``
-    does. Groups with the same first document are put together and cut into blocks of BLOCK_CHARS;
-    every two blocks meet in one task."""
-    group = groups.select(F.col("a").alias("leader"), F.col("b").alias("id")).unionByName(groups.select(F.col("a").alias("leader"), F.col("a").alias("id"))).distinct()
-    sizes = texts.select("id", F.length("t").cast("long").alias("n"))
-    group = store(group.join(small(store(sizes.groupBy("id").agg(F.sum("n").alias("n")), "lengths")), "id"), "group-members")
-    total = group.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_CHARS).alias("blocks"))
-    group = group.join(total, "leader").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    group = group.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    group = group.select("leader", "id", "own", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
-    spans = found.select(F.col("doc_id").alias("id"), F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")).alias("x"))
-    spans = spans.unionByName(found.select(F.col("match_doc_id").alias("id"), F.struct(F.col("match_start").alias("s"), F.col("match_end").alias("e")).alias("x")))
-    spans = spans.groupBy("id").agg(F.collect_set("x").alias("spans"))
-    rows = group.join(texts.join(spans, "id", "left"), "id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        seqs = [sequence(word_hashes(t.as_py()), SIZE) for t in table["t"]]
-        spans = [[(x["s"], x["e"] - SIZE + 1) for x in xs or []] for xs in table["spans"].to_pylist()]
-        cross = table["p"][0].as_py() != table["q"][0].as_py()
-        return pa.Table.from_batches([_results(uncovered(table["id"].to_pylist(), seqs, spans, table["own"].to_pylist() if cross else None))])
-
-    return rows.groupBy("leader", "p", "q").applyInArrow(compare, RESULT)
+    """One row for each stretch of a document that repeats passages of other documents: doc_id, start_word,
+    end_word (excluded), class_id (the smallest doc_id with a stretch that links reach), class_size (stretches
+    of that class), and the best verified link: part_start to part_end of this document is match_start to
+    match_end of match_doc_id with this similarity. Passages have 50 words or more and a Jaccard similarity
+    of 0.8 or more over 5-word shingles; a longer passage is covered by such ones.
+
+    Null text counts as empty; shorter texts and rows without id have no passages; rows with the same id
+    are not compared with each other, nor is a text with itself. Repeated rows count once. No passages or
+    an empty table give no rows; other columns are not read."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    twins = copies(rows)
+    gone = small(twins.select("id", "h"), 2_000_000)
+    rows_ = rows.withColumn("h", F.xxhash64("text")).join(gone, ["id", "h"], "left_anti").select("id", "text")
+    parts = max(8, 2 * input_parts(rows))
+    packed = rows_.mapInArrow(released(_packer(parts)), PACKED)
+    groups = store(packed.groupBy("part").applyInArrow(_groups, GROUPS), "signatures")
+    totals = small(groups.where("id IS NULL").select("sig", "m"))
+    dealt = groups.where("m IS NULL").select("sig", "id").join(totals, "sig")
+    shared = groups.where("id IS NOT NULL AND m IS NOT NULL").select("sig", "id", "m").unionByName(dealt.select("sig", "id", "m"))
+    lists = shared.groupBy("id").agg(F.collect_list(F.struct("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))).alias("sigs"))
+    lists = store(lists, "signature-lists")
+    around = rows_.join(lists, "id").select("id", "text", "sigs").mapInArrow(released(_surroundings), SURROUNDINGS)
+    nodes = around.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(released(_compare), NODES)
+    return _regions(store(nodes.unionByName(_whole(rows, twins)), "nodes"), twins)
+
+
+def _whole(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """A node over the whole text for each text with copies and 50 words or more."""
+    reps = twins.groupBy(F.col("rep").alias("id")).agg(F.min("id").alias("mdoc"))
+    reps = rows.join(small(store(reps, "copied-ids")), "id").select(F.col("id").alias("doc"), "mdoc", (n_words(F.col("text")) - SIZE).alias("hi")).where(F.col("hi") >= LEAST - 1)
+    node, none = F.xxhash64("doc", F.lit("whole")), F.lit(0).cast("long")
+    return reps.select(node.alias("node"), "doc", none.alias("lo"), "hi", node.alias("up"), F.lit(1.0).alias("sim"), none.alias("plo"), F.col("hi").alias("phi"), "mdoc", none.alias("mlo"), F.col("hi").alias("mhi"))
+
+
+def _regions(nodes: DataFrame, twins: DataFrame) -> DataFrame:
+    """Overlapping nodes of a document put together, classes, and the rows of equal texts."""
+    best = F.max(F.struct("sim", (F.col("phi") - F.col("plo")).alias("n"), (-F.col("plo")).alias("k"), "plo", "phi", "mdoc", "mlo", "mhi")).alias("best")
+    each = nodes.groupBy("node", "doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), best)
+    own = Window.partitionBy("doc").orderBy("lo", "hi", "node")
+    before = F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("fresh", F.coalesce(F.col("lo") > before + 1, F.lit(True)))
+    each = each.withColumn("region", F.last(F.when(F.col("fresh"), F.col("node")), True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    each = store(each.drop("fresh"), "node-regions")
+    at = each.select("node", "region").distinct()
+    side = lambda c, name: at.select(F.col("node").alias(c), F.col("region").alias(name))
+    edges = nodes.where("node != up").select("node", "up").distinct().join(side("node", "a"), "node").join(side("up", "b"), "up").select("a", "b")
+    comps = components(edges)
+    spans = each.groupBy("region", "doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("best").alias("best"))
+    spans = spans.join(comps.withColumnRenamed("node", "region"), "region", "left").withColumn("comp", F.coalesce("comp", "region"))
+    # the rows of equal texts: a text with copies has one region, the whole
+    again = spans.join(twins.select(F.col("rep").alias("doc"), F.col("id").alias("twin")).distinct(), "doc")
+    again = again.where("lo = 0 AND best.sim = 1 AND best.phi = hi").select("region", F.col("twin").alias("doc"), "lo", "hi", "comp", F.struct(F.lit(1.0).alias("sim"), F.col("best.n").alias("n"), F.col("best.k").alias("k"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("doc").alias("mdoc"), F.col("lo").alias("mlo"), F.col("hi").alias("mhi")).alias("best"))
+    every = store(spans.select("region", "doc", "lo", "hi", "comp", "best").unionByName(again), "regions")
+    classes = store(every.groupBy("comp").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size")), "region-classes")
+    word = lambda c: (F.col(c) + SIZE).alias
+    return every.join(small(classes), "comp").select(F.col("doc").alias("doc_id"), F.col("lo").alias("start_word"), word("hi")("end_word"), "class_id", "class_size", F.col("best.plo").alias("part_start"), word("best.phi")("part_end"), F.col("best.mdoc").alias("match_doc_id"), F.col("best.mlo").alias("match_start"), word("best.mhi")("match_end"), F.round("best.sim", 6).alias("similarity"))

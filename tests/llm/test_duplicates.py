@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -163,8 +164,26 @@ def test_compact_windows_cover_every_stretch():
         windows = substring_dedup.compact_windows(h, 4)
         for i in range(n):
             for j in range(i + 3, n):
-                hit = [w for w in windows if w[0] <= i <= w[1] <= j <= w[2]]
-                assert len(hit) == 1 and h[hit[0][1]] == h[i : j + 1].min()
+                assert any(w[0] <= i and j <= w[2] and h[w[1]] == h[i : j + 1].min() for w in windows)
+
+
+def test_windows_of_repetitive_texts():
+    """Expected n log n steps: a text of a million repeated words takes seconds, a thousandfold block too."""
+    began = time.time()
+    assert len(substring_dedup.window_signatures(sequence(word_hashes("a b c " * 330_000)))) == substring_dedup.FUNCTIONS
+    block = " ".join(f"w{k}" for k in range(1000))
+    assert len(substring_dedup.window_signatures(sequence(word_hashes((block + " ") * 1000)))) < 200
+    assert time.time() - began < 30
+
+
+def stretches_hold(got, text):
+    """Rows are verified stretches of 50 words or more that lie in their regions."""
+    for r in got:
+        a, b = text[r["doc_id"]].split()[r["part_start"] : r["part_end"]], text[r["match_doc_id"]].split()[r["match_start"] : r["match_end"]]
+        x, y = set(sequence(word_hashes(" ".join(a))).tolist()), set(sequence(word_hashes(" ".join(b))).tolist())
+        assert len(a) >= 50 and len(b) >= 50 and r["doc_id"] != r["match_doc_id"]
+        assert r["start_word"] <= r["part_start"] and r["part_end"] <= r["end_word"]
+        assert len(x & y) / len(x | y) >= 0.8 and r["similarity"] == pytest.approx(len(x & y) / len(x | y), abs=1e-5)
 
 
 def test_passages(spark, odd, empty):
@@ -172,19 +191,22 @@ def test_passages(spark, odd, empty):
     passage = prose(rng, 80)
     rows = [(i, prose(rng, rng.randint(20, 120)) + " " + (passage if i % 4 == 0 else edited(rng, passage, 1) if i % 4 == 1 else prose(rng, 60)) + " " + prose(rng, 40), "en", "a") for i in range(60)]
     got = substring_dedup.repeated_passages(make(spark, rows).repartition(3)).collect()
-    found = {r["doc_id"] for r in got} | {r["match_doc_id"] for r in got}
-    exact = {i for i, *_ in rows if i % 4 == 0}
-    near = {i for i, *_ in rows if i % 4 == 1}
-    assert exact <= found and not found - exact - near and len(found & near) >= 0.8 * len(near)
-    text = {i: t for i, t, *_ in rows}
-    for r in got:
-        a, b = text[r["doc_id"]].split()[r["start_word"] : r["end_word"]], text[r["match_doc_id"]].split()[r["match_start"] : r["match_end"]]
-        x, y = set(sequence(word_hashes(" ".join(a))).tolist()), set(sequence(word_hashes(" ".join(b))).tolist())
-        assert len(x & y) / len(x | y) >= 0.8 and r["similarity"] == pytest.approx(len(x & y) / len(x | y), abs=1e-5)
+    exact, near = {i for i, *_ in rows if i % 4 == 0}, {i for i, *_ in rows if i % 4 == 1}
+    assert {r["doc_id"] for r in got} == exact | near and {r["class_id"] for r in got} == {0}
+    stretches_hold(got, {i: t for i, t, *_ in rows})
     assert substring_dedup.repeated_passages(empty).count() == 0
     assert substring_dedup.repeated_passages(odd).count() == 0
 
 
+def test_copies_of_texts(spark):
+    rng = random.Random(22)
+    long, short = prose(rng, 70), prose(rng, 30)
+    rows = [(5, long, "en", "a"), (3, long, "en", "a"), (9, long, "en", "b"), (3, long, "en", "a"), (4, long + " " + prose(rng, 60), "en", "a"), (6, short, "en", "a"), (7, short, "en", "a"), (None, long, "en", "a")]
+    got = substring_dedup.repeated_passages(make(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"], r["class_size"]) for r in got) == [(i, 0, 70, 3, 4) for i in (3, 4, 5, 9)]
+    assert {r["doc_id"]: r["match_doc_id"] for r in got if r["doc_id"] in (5, 9)} == {5: 3, 9: 3}
+
+
 def connected(pairs, nodes):
     root = {n: n for n in nodes}
 
@@ -266,42 +288,85 @@ def test_every_occurrence_of_a_passage(spark):
         twice, once = fresh(20) + passage + fresh(1000) + passage + fresh(20), fresh(40) + passage + fresh(30)
         rows += [(2 * k + i, " ".join(w), "en", "a") for i, w in enumerate((twice, once) if k % 2 else (once, twice))]
     got = substring_dedup.repeated_passages(make(spark, rows)).collect()
-    found = {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} | {(r["match_doc_id"], r["match_start"], r["match_end"]) for r in got}
-    assert found == {s for k in range(40) for a in [2 * k + (k % 2 == 0)] for s in ((a, 20, 80), (a, 1080, 1140), (4 * k + 1 - a, 40, 100))}
-
-
-def test_partners_in_large_groups(spark, monkeypatch):
-    """Edited copies of a passage, in surroundings of their own: each with a similar partner is found,
-    by pairs of small groups or by blocks."""
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {s for k in range(40) for a in [2 * k + (k % 2 == 0)] for s in ((a, 20, 80), (a, 1080, 1140), (4 * k + 1 - a, 40, 100))}
+    assert {(r["class_id"], r["class_size"]) for r in got} == {(2 * k, 3) for k in range(40)}
+
+
+def brute_passages(rows):
+    """The shingles of each document that lie in a passage shared with another, by comparing whole texts;
+    and the documents that share one, in components."""
+    texts = [(i, _sequence(t.split())) for i, t, *_ in rows]
+    covered = {i: np.zeros(len(x[0]), bool) for i, x in texts}
+    pairs = []
+    for (i, x), (j, y) in itertools.combinations(texts, 2):
+        for a, b, c, d, _ in substring_dedup.passages(x, y):
+            covered[i][a:b] = covered[j][c:d] = True
+            pairs.append((i, j))
+    return covered, pairs
+
+
+def test_recall_against_brute_force(spark, monkeypatch):
+    """Edited passages of several lengths, with words put in, left out and exchanged, in surroundings of
+    their own, and a common line that all share; plain, with small blocks and with dealt signatures."""
     rng = random.Random(51)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    rows = []
-    for _ in range(30):
-        passage = fresh(100)
-        for _ in range(16):
-            w = passage[:]
-            for at in rng.sample(range(100), 4):
-                w[at] = fresh(1)[0]
-            rows.append((len(rows), " ".join(fresh(60) + w + fresh(60)), "en", "a"))
-    texts = [_sequence(t.split()) for _, t, *_ in rows]
-    want = {i for k in range(0, len(rows), 16) for p in itertools.combinations(range(k, k + 16), 2) if substring_dedup.passages(*(texts[i] for i in p)) for i in p}
-    for all_pairs, block in ((8, 2_000_000), (2, 3000)):
-        monkeypatch.setattr(substring_dedup, "ALL_PAIRS", all_pairs)
-        monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", block)
-        got = substring_dedup.repeated_passages(make(spark, rows)).collect()
-        found = {r["doc_id"] for r in got} | {r["match_doc_id"] for r in got}
-        print(len(want), len(want & found), len(got))
-        assert want <= found
-
-
-def test_uncovered_passages_in_blocks():
-    """Not transitive: the first and the third of a chain are apart, the second meets either."""
-    words = [f"p{k}" for k in range(200)]
-    texts = [words[:100], words[8:108], words[16:116], [f"q{k}" for k in range(90)]]
-    seqs = [sequence(word_hashes(" ".join(t))) for t in texts]
-    none = [[] for _ in texts]
-    assert {(r[0], r[3]) for r in substring_dedup.uncovered([1, 2, 3, 4], seqs, none)} >= {(2, 1), (3, 2)}
-    whole = [[(0, 96)]] * 4
-    assert substring_dedup.uncovered([1, 2, 3, 4], seqs, whole) == []
-    assert {(r[0], r[3]) for r in substring_dedup.uncovered([1, 2, 3, 4], seqs, none, [0, 0, 1, 1])} == {(3, 2)} | {(3, 1)}
-    assert substring_dedup.uncovered([7, 7], seqs[:2], none[:2]) == []
+    line, rows = fresh(22), []
+    for n in (50, 55, 70, 100, 150, 400):
+        for _ in range(4):
+            passage = fresh(n)
+            for _ in range(8):
+                w = passage[:]
+                for _ in range(rng.randint(0, max(1, n // 60))):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.randint(0, 1)] = fresh(1) * rng.randint(0, 1)
+                rows.append((len(rows), " ".join(fresh(60) + w + fresh(25) + line + fresh(60)), "en", "a"))
+    covered, pairs = brute_passages(rows)
+    want = {i for i, c in covered.items() if c.any()}
+    assert len(want) > 150
+    for block, hot in ((8192, 32), (5, 32), (8192, 2)):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        monkeypatch.setattr(substring_dedup, "LOCAL_HOT", hot)
+        got = substring_dedup.repeated_passages(make(spark, rows).repartition(3)).collect()
+        stretches_hold(got, {i: t for i, t, *_ in rows})
+        found = {r["doc_id"] for r in got}
+        hit = {i: np.zeros(len(c), bool) for i, c in covered.items()}
+        for r in got:
+            hit[r["doc_id"]][r["start_word"] : r["end_word"] - 4] = True
+        shingles = sum(c.sum() for c in covered.values())
+        print(len(want), len(want & found), len(found - want), shingles, sum((hit[i] & c).sum() for i, c in covered.items()))
+        assert found <= want and len(want & found) >= 0.98 * len(want)
+        assert sum((hit[i] & c).sum() for i, c in covered.items()) >= 0.9 * shingles
+        classes = {r["doc_id"]: r["class_id"] for r in got}
+        assert sum(classes.get(i) == classes.get(j) for i, j in pairs) >= 0.98 * len(pairs)
+        assert all(i // 8 == c // 8 for i, c in classes.items())
+
+
+def test_common_lines_are_set_aside():
+    """Many windows share a signature in a line of their own surroundings: all are screened out at once."""
+    rng = np.random.default_rng(3)
+    n, width = 3000, 2 * substring_dedup.REACH + 1
+    around = rng.integers(1, 2**32, (n, width)).astype(np.uint32)
+    around[:, 40:56] = np.arange(1, 17)
+    began = time.time()
+    comp, links = substring_dedup.linked(around, np.zeros(n, np.int64), np.arange(n))
+    assert not links and len(set(comp.tolist())) == n and time.time() - began < 5
+    around[7, 20:75] = around[2000, 20:75]
+    comp, links = substring_dedup.linked(around, np.zeros(n, np.int64), np.arange(n))
+    assert len(links) == 1 and comp[7] == comp[2000]
+
+
+def test_rows_not_joined_are_compared():
+    """Not transitive: the first and the last are apart, the second meets either, the leader only one."""
+    words = np.arange(1, 92, dtype=np.uint32)
+    chain = []
+    for k, at in enumerate(([], [30], [30, 60], [10, 30, 60, 80], [])):
+        w = words.copy()
+        for x in at:
+            w[x : x + 5] = 1000 * (k + 1) + x + np.arange(5)
+        chain.append(w)
+    around = np.stack(chain)
+    comp, links = substring_dedup.linked(around, np.zeros(5, np.int64), np.arange(5))
+    want = [(a, b) for a, b in itertools.combinations(range(5), 2) if substring_dedup._verified(around, a, b, *(int(x[0]) for x in substring_dedup.aligned(around[[a]], around[[b]])))]
+    assert _classes([(x, y) for x, _, _, y, *_ in links], 5) == _classes(want, 5)
+    same = substring_dedup.linked(around, np.zeros(5, np.int64), np.zeros(5, np.int64))
+    assert not same[1]
