@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import input_parts, n_words, released, small, store
 from .components import components
 from .ngram_join import _runs as runs
-from .shingles import mix, overlap, sequence, word_hashes
+from .shingles import mix, sequence, word_hashes
 
 SIZE, WORDS = 5, 50
 LEAST = WORDS - SIZE + 1
@@ -173,12 +173,25 @@ def _groups(table: pa.Table) -> pa.Table:
     })
 
 
+def thinned(places: np.ndarray) -> np.ndarray:
+    """Places such that every stretch of LEAST shingles with a place in it has one of these: the first, the
+    last, and between them as few as that allows."""
+    if len(places) < 3:
+        return places
+    kept = [0]
+    while kept[-1] < len(places) - 1:
+        at = kept[-1]
+        kept.append(max(at + 1, int(np.searchsorted(places, places[at] + LEAST, "right")) - 1))
+    return places[kept]
+
+
 SURROUNDINGS = "key bigint, doc bigint, off int, shingles binary, places binary"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each wanted signature of a text the shingles around its places (the low halves of their hashes);
-    places with the same surroundings in one text share a row. Of a signature in b blocks a document goes
+    of places close to each other
+    a few are enough, and places with the same surroundings in one text share a row. Of a signature in b blocks a document goes
     to the b pairs with its own."""
     for batch in batches:
         keys, docs, offs, around, places = [], [], [], [], []
@@ -199,8 +212,11 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for j in range(FUNCTIONS):
                 h = hashed(seq, j)
                 at = np.minimum(np.searchsorted(sig, h), len(sig) - 1)
-                for c in np.flatnonzero(sig[at] == h).tolist():
-                    by.setdefault((int(at[c]), min(REACH, c), low[max(0, c - REACH) : c + REACH + 1].tobytes()), []).append(c)
+                met = np.flatnonzero(sig[at] == h)
+                met = met[np.argsort(at[met], kind="stable")]
+                for lo, hi in runs(at[met]):
+                    for c in thinned(met[lo:hi]).tolist():
+                        by.setdefault((int(at[c]), min(REACH, c), low[max(0, c - REACH) : c + REACH + 1].tobytes()), []).append(c)
             for (k, off, held), at in by.items():
                 if blocks[k] == 1:
                     row(int(sig[k].view(np.int64)), i, off, held, at)
@@ -234,17 +250,16 @@ def supported(key: np.ndarray, row: np.ndarray, comp: np.ndarray, doc: np.ndarra
     return np.bincount(r, np.repeat(ok, held), len(comp))
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of rows of surroundings (0: nothing), the longest stretch through the middle that begins
-    and ends with equal shingles and of which eight ninths or more are equal: first and last column."""
-    same = (a == b) & (a != 0)
-    score = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(np.where(same, 1, -8), axis=1, dtype=np.int32)], axis=1)
-    best, lo, hi = np.zeros(len(a), np.int32), np.full(len(a), REACH), np.full(len(a), REACH)
+def stretch(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a mask the longest stretch through the middle that begins and ends with a hit and
+    has hits in eight ninths or more, as two sides of a similarity of 0.8: first and last column."""
+    score = np.concatenate([np.zeros((len(hit), 1), np.int32), np.cumsum(np.where(hit, 1, -8), axis=1, dtype=np.int32)], axis=1)
+    best, lo, hi = np.zeros(len(hit), np.int32), np.full(len(hit), REACH), np.full(len(hit), REACH)
     columns = np.arange(REACH, 2 * REACH + 1)
     for i in range(REACH + 1):
-        ok = same[:, REACH:] & (score[:, REACH + 1 :] >= score[:, i : i + 1]) & same[:, i : i + 1]
+        ok = hit[:, REACH:] & (score[:, REACH + 1 :] >= score[:, i : i + 1]) & hit[:, i : i + 1]
         last = np.where(ok, columns, -1).max(axis=1)
-        longer = (last - i + 1 > best) & (last >= 0)
+        longer = last - i + 1 > best
         best[longer], lo[longer], hi[longer] = last[longer] - i + 1, i, last[longer]
     return lo, hi
 
@@ -286,11 +301,9 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
         hits = np.bincount(row[mine], held[at] == key[mine], len(doc))
         found = []
         near = np.flatnonzero(open_ & (hits >= LEAST_HITS))
-        for at in range(0, len(near), 4096):
-            part = near[at : at + 4096]
-            lo, hi = aligned(around[part], around[of[part]])
-            for x, l, h in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                got = _verified(around, x, int(of[x]), l, h, int(hits[x]))
+        for at in range(0, len(near), 1024):
+            part = near[at : at + 1024]
+            for x, got in zip(part.tolist(), verified(around[part], around[of[part]]), strict=True):
                 if got:
                     found.append((x, got[0], got[1], int(of[x]), got[2], got[3], got[4]))
         links += found
@@ -300,22 +313,52 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
                 comp[comp == comp[x]] = comp[y]
 
 
-def _verified(around: np.ndarray, x: int, y: int, lo: int, hi: int, hits: int = 0) -> tuple[int, int, int, int, float] | None:
-    """A passage of LEAST shingles or more through the middle of both rows: the aligned stretch or, where
-    that is none or many common shingles (``hits``) lie outside it, as words were put in or left out, the
-    longest of all."""
-    a, b = around[x], around[y]
-    found = []
-    if hi - lo + 1 >= LEAST:
-        s = 1.0 if (a[lo : hi + 1] == b[lo : hi + 1]).all() else similarity(a[lo : hi + 1], b[lo : hi + 1])
-        if 100 * s >= PERCENT:
-            found.append((lo, hi, lo, hi, s))
-    if not found or hits - (hi - lo + 1) >= 2 * SIZE:
-        (one, off), (two, shift) = ((r[r != 0], int(np.flatnonzero(r)[0])) for r in (a, b))
-        for l, h, m, n, s in passages(indexed(one), indexed(two)):
-            if l + off <= REACH < h + off and m + shift <= REACH < n + shift:
-                found.append((l + off, h + off - 1, m + shift, n + shift - 1, s))
-    return max(found, key=lambda p: (p[1] - p[0], p[4]), default=None)
+def verified(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
+    """For pairs of rows of surroundings (0: nothing) a passage of LEAST shingles or more through the middle of
+    both, the longest found: where shingles are equal place by place, or, as words may have been put in, left
+    out or moved, where they stand anywhere on the other side, first in all of it, then in its stretch."""
+    out: list[tuple[int, int, int, int, float] | None] = [None] * len(a)
+    both = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
+    one = both.any(axis=2)
+    same = (a == b) & (a != 0)
+    # equal shingles through the middle without a break, and next to none elsewhere
+    left = np.argmin(np.concatenate([same[:, REACH::-1], np.zeros((len(a), 1), bool)], axis=1), axis=1)
+    right = np.argmin(np.concatenate([same[:, REACH:], np.zeros((len(a), 1), bool)], axis=1), axis=1)
+    run = np.maximum(left + right - 1, 0)
+    plain = (run >= LEAST) & (one.sum(axis=1) - run < 2 * SIZE)
+    for k in np.flatnonzero(plain).tolist():
+        l, h = REACH - int(left[k]) + 1, REACH + int(right[k]) - 1
+        out[k] = (l, h, l, h, 1.0)
+    rest = np.flatnonzero(~plain)
+    for k, got in zip(rest.tolist(), _searched(a[rest], b[rest], same[rest], both[rest], one[rest]), strict=True):
+        out[k] = got
+    return out
+
+
+def _searched(a: np.ndarray, b: np.ndarray, same: np.ndarray, both: np.ndarray, one: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
+    out: list[tuple[int, int, int, int, float] | None] = [None] * len(a)
+
+    def take(at: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> None:
+        for k in np.flatnonzero((ha - la + 1 >= LEAST) & (hb - lb + 1 >= LEAST)).tolist():
+            x, l, h, m, n = int(at[k]), int(la[k]), int(ha[k]), int(lb[k]), int(hb[k])
+            if out[x] is None or h - l > out[x][1] - out[x][0]:
+                s = similarity(a[x, l : h + 1], b[x, m : n + 1])
+                if 100 * s >= PERCENT:
+                    out[x] = (l, h, m, n, s)
+
+    lo, hi = stretch(same)
+    take(np.arange(len(a)), lo, hi, lo, hi)
+    columns = np.arange(2 * REACH + 1)
+    two = both.any(axis=1)
+    more = np.flatnonzero(one.sum(axis=1) - (hi - lo + 1) >= 2 * SIZE)
+    both, one, two = both[more], one[more], two[more]
+    for again in (True, False):
+        (la, ha), (lb, hb) = stretch(one), stretch(two)
+        take(more, la, ha, lb, hb)
+        if again:
+            inside = lambda l, h: (columns >= l[:, None]) & (columns <= h[:, None])
+            one, two = (both & inside(lb, hb)[:, None, :]).any(axis=2), (both & inside(la, ha)[:, :, None]).any(axis=1)
+    return out
 
 
 NODES = "node bigint, doc bigint, lo bigint, hi bigint, up bigint, sim double, plo bigint, phi bigint, mdoc bigint, mlo bigint, mhi bigint"
@@ -379,142 +422,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(held)
 
 
-def _hit_runs(hit: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def stretches(hit: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
-    """The longest stretch from hit to hit in which eight ninths are hits (a similarity of 0.8 for two
-    stretches of the same length), then the longest on either side of it, and so on."""
-    out, todo = [], [_hit_runs(hit)]
-    while todo:
-        runs_ = todo.pop()
-        if not runs_ or runs_[-1][1] - runs_[0][0] < least:
-            continue
-        # at starts: hits less 8 times the misses before; a stretch is good if the sum does not fall
-        before, after, total, last = [], [], 0, runs_[0][0]
-        for lo, hi in runs_:
-            total -= 8 * (lo - last)
-            before.append(total)
-            total += hi - lo
-            after.append(total)
-            last = hi
-        best_after = after[:]
-        for k in range(len(after) - 2, -1, -1):
-            best_after[k] = max(best_after[k], best_after[k + 1])
-        best, at, l = 0, (0, 0), 0
-        low = None
-        for k in range(len(runs_)):
-            if low is not None and before[k] >= low:
-                continue  # a start further left is at least as good
-            low = before[k]
-            l = max(l, k)
-            while l + 1 < len(runs_) and best_after[l + 1] >= low:
-                l += 1
-            if runs_[l][1] - runs_[k][0] > best:
-                best, at = runs_[l][1] - runs_[k][0], (k, l)
-        if best < least:
-            continue
-        out.append((runs_[at[0]][0], runs_[at[1]][1]))
-        todo += [runs_[: at[0]], runs_[at[1] + 1 :]]
-    return sorted(out)
-
-
-def _densest(hit: np.ndarray) -> tuple[int, int]:
-    """The stretch that scores best with +1 for a hit and -8 for a miss."""
-    start = total = best = lo = hi = last = 0
-    for a, b in _hit_runs(hit):
-        total -= 8 * (a - last)
-        if total <= 0:
-            start, total = a, 0
-        total += b - a
-        if total > best:
-            best, lo, hi = total, start, b
-        last = b
-    return lo, hi
-
-
-Text = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def indexed(x: np.ndarray) -> Text:
-    """A shingle sequence, its places in the order of the shingles, and the shingles in that order."""
-    order = np.argsort(x, kind="stable")
-    return x, order, x[order]
-
-
-def passages(x: Text, y: Text) -> list[tuple[int, int, int, int, float]]:
-    """Verified passages of two texts: starts and ends (in shingles, ends excluded). Both texts are
-    searched, as eight ninths of the shorter side are hits, and so that every occurrence of a passage is
-    found in either."""
-    out = set(_search(x, y))
-    for s, e, lo, hi, v in _search(y, x):
-        if not any(l <= lo and hi <= h and t <= s and e <= f for l, h, t, f, _ in out):
-            out.add((lo, hi, s, e, v))
-    return sorted(out)
-
-
-def _search(x: Text, y: Text) -> list[tuple[int, int, int, int, float]]:
-    out = []
-    for lo, hi in stretches(overlap_mask(x[0], y[2])):
-        out += _within(x[0], *y, lo, hi)
-    return out
-
-
-def _within(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages in a stretch of p. If it is none as a whole, its densest part is tried, then the parts
-    before and after the greatest break in its order in q."""
-    out, todo = [], [(lo, hi)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < LEAST:
-            continue
-        got = _aligned(p, q, order, ranked, lo, hi)
-        if got is None:  # what makes the other side longer may lie near an end
-            hit = overlap_mask(p[lo:hi], ranked)
-            a, b = _densest(hit)
-            if b - a >= LEAST and (a, b) != (0, hi - lo):
-                got = _aligned(p, q, order, ranked, lo + a, lo + b)
-        if got is not None:
-            out.append(got)
-            if (got[0], got[1]) != (lo, hi):
-                todo += [(lo, got[0]), (got[1], hi)]
-            continue
-        hits = lo + np.flatnonzero(hit)
-        if len(hits) and (hits[0], hits[-1] + 1) != (lo, hi):
-            todo.append((int(hits[0]), int(hits[-1]) + 1))
-            continue
-        jump = np.abs(np.diff(order[np.searchsorted(ranked, p[hits])] - hits))
-        if jump.any():
-            k = int(jump.argmax())
-            todo += [(int(hits[0]), int(hits[k]) + 1), (int(hits[k + 1]), int(hits[-1]) + 1)]
-    return out
-
-
-def _aligned(p: np.ndarray, q: np.ndarray, order: np.ndarray, ranked: np.ndarray, lo: int, hi: int) -> tuple[int, int, int, int, float] | None:
-    """The stretch of q between the ends of p[lo:hi] whose length fits best, if the two are similar."""
-    starts = order[np.searchsorted(ranked, p[lo], "left") : np.searchsorted(ranked, p[lo], "right")]
-    ends = order[np.searchsorted(ranked, p[hi - 1], "left") : np.searchsorted(ranked, p[hi - 1], "right")]
-    want = starts + (hi - 1 - lo)
-    at = np.searchsorted(ends, want)
-    best = min(((abs(int(e) - int(w)), int(s), int(e)) for s, w, k in zip(starts, want, at, strict=True) for e in ends[max(0, k - 1) : k + 1] if e >= s), default=None)
-    if best is None:
-        return None
-    _, s, e = best
-    one, two = np.unique(p[lo:hi]), np.unique(q[s : e + 1])
-    common = overlap(one, two)
-    union = len(one) + len(two) - common
-    if 100 * common >= PERCENT * union and e + 1 - s >= LEAST:
-        return lo, hi, s, e + 1, common / union
-    return None
-
-
-def overlap_mask(p: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(ranked, p), len(ranked) - 1)
-    return ranked[at] == p
-
-
 def copies(rows: DataFrame) -> DataFrame:
     """id, h (hash of the text) and the smallest id of the rows with equal texts, for the other ids."""
     told = store(rows.select("id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest")), "text-digests")

@@ -6,6 +6,7 @@ import random
 import time
 from collections import defaultdict
 
+import brute_passages
 import numpy as np
 import pyarrow.compute  # noqa: F401
 import pytest
@@ -259,7 +260,7 @@ def _classes(pairs, n):
 
 
 def _sequence(words):
-    return substring_dedup.indexed(sequence(word_hashes(" ".join(words))))
+    return brute_passages.indexed(sequence(word_hashes(" ".join(words))))
 
 
 def test_passages_with_a_cut_in_either_text():
@@ -268,13 +269,13 @@ def test_passages_with_a_cut_in_either_text():
     passage = [f"p{k}" for k in range(104)]
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     whole, cut = fresh(70) + passage + fresh(50), fresh(30) + passage[:47] + passage[57:] + fresh(80)
-    assert [r[4] for r in substring_dedup.passages(_sequence(whole), _sequence(cut))] == [86 / 104]
-    assert [r[4] for r in substring_dedup.passages(_sequence(cut), _sequence(whole))] == [86 / 104]
+    assert [r[4] for r in brute_passages.passages(_sequence(whole), _sequence(cut))] == [86 / 104]
+    assert [r[4] for r in brute_passages.passages(_sequence(cut), _sequence(whole))] == [86 / 104]
 
 
 def test_passages_in_another_order():
     one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(70)]
-    got = substring_dedup.passages(_sequence(one + two), _sequence(two + one))
+    got = brute_passages.passages(_sequence(one + two), _sequence(two + one))
     assert [r[:4] for r in got] == [(0, 56, 70, 126), (60, 126, 0, 66)]
 
 
@@ -299,7 +300,7 @@ def brute_passages(rows):
     covered = {i: np.zeros(len(x[0]), bool) for i, x in texts}
     pairs = []
     for (i, x), (j, y) in itertools.combinations(texts, 2):
-        for a, b, c, d, _ in substring_dedup.passages(x, y):
+        for a, b, c, d, _ in brute_passages.passages(x, y):
             covered[i][a:b] = covered[j][c:d] = True
             pairs.append((i, j))
     return covered, pairs
@@ -366,7 +367,7 @@ def test_rows_not_joined_are_compared():
         chain.append(w)
     around = np.stack(chain)
     comp, links = substring_dedup.linked(around, np.zeros(5, np.int64), np.arange(5))
-    want = [(a, b) for a, b in itertools.combinations(range(5), 2) if substring_dedup._verified(around, a, b, *(int(x[0]) for x in substring_dedup.aligned(around[[a]], around[[b]])))]
+    want = [(a, b) for a, b in itertools.combinations(range(5), 2) if substring_dedup.verified(around[[a]], around[[b]])[0]]
     assert _classes([(x, y) for x, _, _, y, *_ in links], 5) == _classes(want, 5)
     same = substring_dedup.linked(around, np.zeros(5, np.int64), np.zeros(5, np.int64))
     assert not same[1]
