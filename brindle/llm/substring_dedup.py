@@ -252,15 +252,20 @@ def supported(key: np.ndarray, row: np.ndarray, comp: np.ndarray, doc: np.ndarra
 
 def stretch(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a mask the longest stretch through the middle that begins and ends with a hit and
-    has hits in eight ninths or more, as two sides of a similarity of 0.8: first and last column."""
-    score = np.concatenate([np.zeros((len(hit), 1), np.int32), np.cumsum(np.where(hit, 1, -8), axis=1, dtype=np.int32)], axis=1)
-    best, lo, hi = np.zeros(len(hit), np.int32), np.full(len(hit), REACH), np.full(len(hit), REACH)
-    columns = np.arange(REACH, 2 * REACH + 1)
-    for i in range(REACH + 1):
-        ok = hit[:, REACH:] & (score[:, REACH + 1 :] >= score[:, i : i + 1]) & hit[:, i : i + 1]
-        last = np.where(ok, columns, -1).max(axis=1)
-        longer = last - i + 1 > best
-        best[longer], lo[longer], hi[longer] = last[longer] - i + 1, i, last[longer]
+    has hits in eight ninths or more, as two sides of a similarity of 0.8: first and last column. A stretch
+    is told by the misses it takes in on either side, of which there can be only few."""
+    most = (2 * REACH + 1) // 9
+    ends = []
+    for side in (hit[:, REACH::-1], hit[:, REACH:]):
+        missed = np.cumsum(np.concatenate([~side, np.ones((len(hit), most + 2), bool)], axis=1), axis=1, dtype=np.int16)
+        at = [(missed > k).argmax(axis=1) for k in range(most + 1)]
+        ends.append([(d, (d > 0) if k == 0 else d - at[k - 1] > 1) for k, d in enumerate(at)])
+    best, lo, hi = np.zeros(len(hit), np.int64), np.full(len(hit), REACH), np.full(len(hit), REACH)
+    for x, (left, starts) in enumerate(ends[0]):
+        for y, (right, stops) in enumerate(ends[1][: most + 1 - x]):
+            n = left + right - 1
+            longer = (n > best) & (n >= 9 * (x + y)) & starts & stops
+            best[longer], lo[longer], hi[longer] = n[longer], REACH - left[longer] + 1, REACH + right[longer] - 1
     return lo, hi
 
 
@@ -272,45 +277,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """Components of the rows of each group and the links found: (row, lo, hi, row, lo, hi, similarity), in
-    columns. A row is done when it was compared with all rows that it was not joined with by then."""
-    comp = np.arange(len(doc))
-    alive = np.ones(len(doc), bool)
+    columns. A row is done when it was compared with all rows that it was not joined with by then.
+    Groups are numbered from 0, in the order of the rows."""
+    comp, of = np.arange(len(doc)), np.full(len(doc), -1)
+    begin = np.searchsorted(group, np.arange(int(group.max(initial=0)) + 2))
     links: list[tuple] = []
-    filled = around != 0
-    while True:
-        row, col = np.nonzero(filled & alive[:, None])
-        if not len(row):
-            return comp, links
-        key = group[row].astype(np.uint64) << _U(32) | around[row, col]
+    rest = np.arange(len(doc))
+    while len(rest) > 1:
+        row, col = np.nonzero(around[rest])
+        row = rest[row]
+        key = group[row].astype(np.uint64) << _U(32) | around[rest][around[rest] != 0]
         support = supported(key, row, comp, doc)
-        alive &= support >= LEAST_HITS
-        rest = np.flatnonzero(alive)
-        if len(rest) < 2:
-            return comp, links
-        order = rest[np.lexsort((rest, -support[rest], group[rest]))]
+        order = np.lexsort((rest, -support[rest], group[rest]))
+        order = rest[order][support[rest[order]] >= LEAST_HITS]
+        if len(order) < 2:
+            break
         first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
-        leader = np.full(int(group.max()) + 1, -1)
-        leader[group[order[first]]] = order[first]
-        of = leader[group]
-        open_ = alive & (of >= 0) & (comp != comp[of]) & (doc != doc[of])
-        lead = np.zeros(len(doc), bool)
-        lead[order[first]] = True
-        held = np.unique(key[lead[row]])
+        leaders = order[first]
+        of[order] = np.repeat(leaders, np.diff(np.concatenate([np.flatnonzero(first), [len(order)]])))
+        open_, lead = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+        open_[order] = (comp[order] != comp[of[order]]) & (doc[order] != doc[of[order]])
+        lead[leaders] = True
+        held = np.sort(key[lead[row]])
         mine = open_[row]
         at = np.minimum(np.searchsorted(held, key[mine]), len(held) - 1)
         hits = np.bincount(row[mine], held[at] == key[mine], len(doc))
-        found = []
-        near = np.flatnonzero(open_ & (hits >= LEAST_HITS))
-        for at in range(0, len(near), 1024):
-            part = near[at : at + 1024]
+        near = order[open_[order] & (hits[order] >= LEAST_HITS)]
+        for lo in range(0, len(near), 1024):
+            part = near[lo : lo + 1024]
             for x, got in zip(part.tolist(), verified(around[part], around[of[part]]), strict=True):
                 if got:
-                    found.append((x, got[0], got[1], int(of[x]), got[2], got[3], got[4]))
-        links += found
-        alive[order[first]] = False
-        for x, *_, y, _, _, _ in found:
-            if comp[x] != comp[y]:
-                comp[comp == comp[x]] = comp[y]
+                    y = int(of[x])
+                    links.append((x, got[0], got[1], y, got[2], got[3], got[4]))
+                    if comp[x] != comp[y]:
+                        own = comp[begin[group[x]] : begin[group[x] + 1]]
+                        own[own == comp[x]] = comp[y]
+        rest = order[~first]
+    return comp, links
 
 
 def verified(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
@@ -338,14 +341,18 @@ def verified(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
 def _searched(a: np.ndarray, b: np.ndarray, same: np.ndarray, both: np.ndarray, one: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
     out: list[tuple[int, int, int, int, float] | None] = [None] * len(a)
 
-    def take(at: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> None:
+    def take(rows: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> None:
         for k in np.flatnonzero((ha - la + 1 >= LEAST) & (hb - lb + 1 >= LEAST)).tolist():
-            x, l, h, m, n = int(at[k]), int(la[k]), int(ha[k]), int(lb[k]), int(hb[k])
-            if out[x] is None or h - l > out[x][1] - out[x][0]:
+            x, l, h, m, n = int(rows[k]), int(la[k]), int(ha[k]), int(lb[k]), int(hb[k])
+            row = int(at[x])
+            if out[row] is None or h - l > out[row][1] - out[row][0]:
                 s = similarity(a[x, l : h + 1], b[x, m : n + 1])
                 if 100 * s >= PERCENT:
-                    out[x] = (l, h, m, n, s)
+                    out[row] = (l, h, m, n, s)
 
+    far = stretch(one)
+    at = np.flatnonzero(far[1] - far[0] + 1 >= LEAST)
+    a, b, same, both, one = a[at], b[at], same[at], both[at], one[at]
     lo, hi = stretch(same)
     take(np.arange(len(a)), lo, hi, lo, hi)
     columns = np.arange(2 * REACH + 1)

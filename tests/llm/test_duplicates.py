@@ -293,7 +293,7 @@ def test_every_occurrence_of_a_passage(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(2 * k, 3) for k in range(40)}
 
 
-def brute_passages(rows):
+def shared_by_brute_force(rows):
     """The shingles of each document that lie in a passage shared with another, by comparing whole texts;
     and the documents that share one, in components."""
     texts = [(i, _sequence(t.split())) for i, t, *_ in rows]
@@ -321,7 +321,7 @@ def test_recall_against_brute_force(spark, monkeypatch):
                     at = rng.randrange(len(w))
                     w[at : at + rng.randint(0, 1)] = fresh(1) * rng.randint(0, 1)
                 rows.append((len(rows), " ".join(fresh(60) + w + fresh(25) + line + fresh(60)), "en", "a"))
-    covered, pairs = brute_passages(rows)
+    covered, pairs = shared_by_brute_force(rows)
     want = {i for i, c in covered.items() if c.any()}
     assert len(want) > 150
     for block, hot in ((8192, 32), (5, 32), (8192, 2)):
