@@ -278,41 +278,82 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """Components of the rows of each group and the links found: (row, lo, hi, row, lo, hi, similarity), in
     columns. A row is done when it was compared with all rows that it was not joined with by then.
-    Groups are numbered from 0, in the order of the rows."""
-    comp, of = np.arange(len(doc)), np.full(len(doc), -1)
+    Groups are numbered from 0, in the order of the rows. Small groups are done side by side, a row of each at
+    a time; what is open when few groups are left is done group by group."""
+    comp = np.arange(len(doc))
     begin = np.searchsorted(group, np.arange(int(group.max(initial=0)) + 2))
     links: list[tuple] = []
-    rest = np.arange(len(doc))
-    while len(rest) > 1:
+
+    def settle(near: np.ndarray, of: np.ndarray, hit: np.ndarray) -> None:
+        """Compares rows with one row each, given which of their shingles it has."""
+        lo, hi = stretch(hit)
+        far = hi - lo + 1 >= LEAST
+        near, of = near[far], of[far]
+        for k in range(0, len(near), 1024):
+            part, with_ = near[k : k + 1024], of[k : k + 1024]
+            for x, y, got in zip(part.tolist(), with_.tolist(), verified(around[part], around[with_]), strict=True):
+                if got:
+                    links.append((x, got[0], got[1], y, got[2], got[3], got[4]))
+                    if comp[x] != comp[y]:
+                        own = comp[begin[group[x]] : begin[group[x] + 1]]
+                        own[own == comp[x]] = comp[y]
+
+    def screened(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that others may link to, by group, those with the most common shingles first; entries."""
         row, col = np.nonzero(around[rest])
         row = rest[row]
-        key = group[row].astype(np.uint64) << _U(32) | around[rest][around[rest] != 0]
+        key = group[row].astype(np.uint64) << _U(32) | around[row, col]
         support = supported(key, row, comp, doc)
-        order = np.lexsort((rest, -support[rest], group[rest]))
-        order = rest[order][support[rest[order]] >= LEAST_HITS]
+        order = rest[np.lexsort((rest, -support[rest], group[rest]))]
+        return order[support[order] >= LEAST_HITS], row, col, key
+
+    rest = np.arange(len(doc))
+    while len(rest) > 1:
+        order, row, col, key = screened(rest)
         if len(order) < 2:
-            break
+            return comp, links
         first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
         leaders = order[first]
+        if len(leaders) < 16:
+            rest = order
+            break
+        of, lead = np.full(len(doc), -1), np.zeros(len(doc), bool)
         of[order] = np.repeat(leaders, np.diff(np.concatenate([np.flatnonzero(first), [len(order)]])))
-        open_, lead = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-        open_[order] = (comp[order] != comp[of[order]]) & (doc[order] != doc[of[order]])
         lead[leaders] = True
+        open_ = (of >= 0) & (comp != comp[of]) & (doc != doc[of])
         held = np.sort(key[lead[row]])
         mine = open_[row]
-        at = np.minimum(np.searchsorted(held, key[mine]), len(held) - 1)
-        hits = np.bincount(row[mine], held[at] == key[mine], len(doc))
-        near = order[open_[order] & (hits[order] >= LEAST_HITS)]
-        for lo in range(0, len(near), 1024):
-            part = near[lo : lo + 1024]
-            for x, got in zip(part.tolist(), verified(around[part], around[of[part]]), strict=True):
-                if got:
-                    y = int(of[x])
-                    links.append((x, got[0], got[1], y, got[2], got[3], got[4]))
-                    if comp[x] != comp[y]:
-                        own = comp[begin[group[x]] : begin[group[x] + 1]]
-                        own[own == comp[x]] = comp[y]
+        row, col, key = row[mine], col[mine], key[mine]
+        met = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
+        near = np.flatnonzero(np.bincount(row, met, len(doc)) >= LEAST_HITS)
+        place = np.full(len(doc), -1)
+        place[near] = np.arange(len(near))
+        met &= place[row] >= 0
+        hit = np.zeros((len(near), around.shape[1]), bool)
+        hit[place[row[met]], col[met]] = True
+        settle(near, of[near], hit)
         rest = order[~first]
+    for g in np.unique(group[rest]).tolist():
+        left = rest[group[rest] == g]
+        while len(left) > 1:
+            order, row, col, key = screened(left)
+            ranked = np.argsort(key, kind="stable")
+            key, row = key[ranked], row[ranked]
+            done = np.zeros(len(doc), bool)
+            wanted = np.zeros(len(doc), bool)
+            wanted[order] = True
+            for y in order[: max(64, len(order) // 8)].tolist():
+                done[y] = True
+                values = np.unique(around[y])
+                values = values[values != 0]
+                mine = np.uint64(g) << _U(32) | values.astype(np.uint64)
+                lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                hits = np.bincount(row[at], minlength=len(doc))
+                near = np.flatnonzero((hits >= LEAST_HITS) & wanted & ~done & (comp != comp[y]) & (doc != doc[y]))
+                if len(near):
+                    settle(near, np.full(len(near), y), np.isin(around[near], values))
+            left = order[~done[order]]
     return comp, links
 
 
@@ -379,37 +420,55 @@ def _node(doc: int, place: int) -> int:
 
 def _compared(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
     """The nodes of whole groups: a node is a stretch of a document, verified against another (plo to phi
-    there is mlo to mhi in mdoc), with its parent in a tree over its component."""
-    around = np.zeros((len(rows), 2 * REACH + 1), np.uint32)
-    for k, (_, _, off, held, _) in enumerate(rows):
+    there is mlo to mhi in mdoc), with its parent in a tree over its component. Equal surroundings are
+    compared once, for the first that has them."""
+    distinct: dict[tuple[int, int, bytes], list[int]] = {}
+    for k, (key, _, off, held, _) in enumerate(rows):
+        distinct.setdefault((key, off, held), []).append(k)
+    first = [held[0] for held in distinct.values()]
+    around = np.zeros((len(first), 2 * REACH + 1), np.uint32)
+    for k, (_, off, held) in enumerate(distinct):
         x = np.frombuffer(held, np.uint32)
         around[k, REACH - off : REACH - off + len(x)] = np.where(x == 0, 1, x)
-    _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-    doc = np.array([r[1] for r in rows], np.int64)
+    _, group = np.unique(np.array([key for key, _, _ in distinct]), return_inverse=True)
+    several = [len({rows[k][1] for k in held}) > 1 for held in distinct.values()]
+    # a row of several documents is no document's own
+    _, doc = np.unique(np.array([rows[i][1] for i in first], np.int64), return_inverse=True)
+    doc = np.where(several, len(first) + np.arange(len(first)), doc)
     comp, links = linked(around, group, doc)
     best: dict[int, tuple] = {}
     reach: dict[int, tuple[int, int]] = {}
+    for k, many in enumerate(several):
+        cols = np.flatnonzero(around[k])
+        if many and len(cols) >= LEAST:
+            lo, hi = int(cols[0]), int(cols[-1])
+            best[k], reach[k] = (1.0, hi - lo, k, lo, hi, lo, hi), (lo, hi)
     for x, lx, hx, y, ly, hy, s in links:
         for a, la, ha, b, lb, hb in ((x, lx, hx, y, ly, hy), (y, ly, hy, x, lx, hx)):
             best[a] = max(best.get(a, (0.0,)), (s, ha - la, b, la, ha, lb, hb))
             lo, hi = reach.get(a, (la, ha))
             reach[a] = min(lo, la), max(hi, ha)
-    places = {k: np.frombuffer(rows[k][4], np.int32).astype(np.int64) - REACH for k in reach}
+    members = list(distinct.values())
+    base = lambda i: np.frombuffer(rows[i][4], np.int32).astype(np.int64) - REACH
     out: list[tuple] = []
-    members: dict[int, list[int]] = {}
+    trees: dict[int, list[int]] = {}
     for k in sorted(reach):
-        tree = members.setdefault(int(comp[k]), [])
+        tree = trees.setdefault(int(comp[k]), [])
         s, _, other, la, ha, lb, hb = best[k]
         lo, hi = reach[k]
-        starts, ends = places[k] + lo, places[k] + hi
-        cut = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1]))
-        last = np.concatenate([cut[1:] - 1, [len(starts) - 1]])
-        there = int(places[other][0])
-        for c, e in zip(cut.tolist(), last.tolist(), strict=True):
-            node, at = _node(rows[k][1], int(places[k][c]) + REACH), int(places[k][c])
-            up = tree[(len(tree) - 1) // FANOUT] if tree else node
-            tree.append(node)
-            out.append((node, rows[k][1], int(starts[c]), int(ends[e]), up, s, at + la, at + ha, rows[other][1], there + lb, there + hb))
+        for i in members[k]:
+            own = rows[i][1]
+            that = next((j for j in members[other] if rows[j][1] != own), None)
+            if that is None:  # the other row is of this document alone
+                continue
+            there, at = int(base(that)[0]), base(i)
+            starts, ends = at + lo, at + hi
+            cut = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1])) if len(at) > 1 else np.zeros(1, np.int64)
+            for c, e in zip(cut.tolist(), [*(cut[1:] - 1).tolist(), len(at) - 1], strict=True):
+                node, from_ = _node(own, int(at[c]) + REACH), int(at[c])
+                up = tree[(len(tree) - 1) // FANOUT] if tree else node
+                tree.append(node)
+                out.append((node, own, int(starts[c]), int(ends[e]), up, s, from_ + la, from_ + ha, rows[that][1], there + lb, there + hb))
     return _arrow(NODES, *(zip(*out, strict=True) if out else [[]] * 11))
 
 

@@ -337,9 +337,11 @@ def test_recall_against_brute_force(spark, monkeypatch):
         print(len(want), len(want & found), len(found - want), shingles, sum((hit[i] & c).sum() for i, c in covered.items()))
         assert found <= want and len(want & found) >= 0.98 * len(want)
         assert sum((hit[i] & c).sum() for i, c in covered.items()) >= 0.9 * shingles
-        classes = {r["doc_id"]: r["class_id"] for r in got}
-        assert sum(classes.get(i) == classes.get(j) for i, j in pairs) >= 0.98 * len(pairs)
-        assert all(i // 8 == c // 8 for i, c in classes.items())
+        classes = defaultdict(set)
+        for r in got:
+            classes[r["doc_id"]].add(r["class_id"])
+            assert r["doc_id"] // 8 == r["class_id"] // 8
+        assert sum(bool(classes[i] & classes[j]) for i, j in pairs) >= 0.98 * len(pairs)
 
 
 def test_common_lines_are_set_aside():
