@@ -2,7 +2,8 @@
 
 Each document is known by the SHA-256 of its text. An index holds the digests of the documents
 that stay so far: a cuckoo filter (16-bit fingerprints, two candidate buckets of four) answers
-most lookups; a hit is checked against the full digests stored in those buckets. When a later
+most lookups; a hit is checked against the entry stored in that slot of the bucket: the full digest, which
+is what equality of texts means here, beside the payload. There is no other map. When a later
 copy with a larger id arrives, the older live entry is deleted and the new one inserted. If an
 insertion cannot find a place, the filter is built anew at twice the size from the stored keys.
 
@@ -24,7 +25,7 @@ from .common import small, store
 
 
 class CuckooIndex:
-    """Digest -> payload. ``slots`` hold fingerprints; ``keys`` the digest stored in each slot."""
+    """Digest -> payload. ``slots`` hold fingerprints, ``content`` the digest and payload behind each."""
 
     SLOTS, KICKS = 4, 200
 
@@ -36,8 +37,8 @@ class CuckooIndex:
 
     def _clear(self) -> None:
         self.slots = [[0] * self.SLOTS for _ in range(self.n)]
-        self.keys: list[list[bytes | None]] = [[None] * self.SLOTS for _ in range(self.n)]
-        self.payload: dict[bytes, tuple] = {}
+        self.content: list[list[tuple[bytes, tuple] | None]] = [[None] * self.SLOTS for _ in range(self.n)]
+        self.held = 0
 
     def _mark(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[:2], "big") or 1
@@ -53,60 +54,65 @@ class CuckooIndex:
         for bucket in (a, b):
             if mark in self.slots[bucket]:
                 for k in range(self.SLOTS):
-                    if self.slots[bucket][k] == mark and self.keys[bucket][k] == digest:
+                    if self.slots[bucket][k] == mark and self.content[bucket][k][0] == digest:
                         return bucket, k
         return None
 
     def get(self, digest: bytes) -> tuple | None:
-        return self.payload[digest] if self._find(digest) else None
+        at = self._find(digest)
+        return self.content[at[0]][at[1]][1] if at else None
 
     def delete(self, digest: bytes) -> bool:
         at = self._find(digest)
         if at is None:
             return False
-        self.slots[at[0]][at[1]], self.keys[at[0]][at[1]] = 0, None
-        del self.payload[digest]
+        self.slots[at[0]][at[1]], self.content[at[0]][at[1]] = 0, None
+        self.held -= 1
         return True
 
     def insert(self, digest: bytes, payload: tuple) -> None:
         """Adds a digest that is not in the index."""
-        self.payload[digest] = payload
-        if not self._place(digest):
-            self._grow()
+        left = self._place(digest, payload)
+        self.held += 1
+        if left is not None:
+            self._grow(left)
 
-    def _place(self, digest: bytes) -> bool:
+    def _place(self, digest: bytes, payload: tuple) -> tuple[bytes, tuple] | None:
+        """Stores an entry; others may be moved. None, or the entry that found no place in the end."""
         mark, a, b = self._mark(digest)
+        entry = (digest, payload)
         for bucket in (a, b):
             for k in range(self.SLOTS):
                 if self.slots[bucket][k] == 0:
-                    self.slots[bucket][k], self.keys[bucket][k] = mark, digest
-                    return True
-        bucket, key = a, digest
+                    self.slots[bucket][k], self.content[bucket][k] = mark, entry
+                    return None
+        bucket = a
         for kick in range(self.KICKS):
             k = kick % self.SLOTS
             mark, self.slots[bucket][k] = self.slots[bucket][k], mark
-            key, self.keys[bucket][k] = self.keys[bucket][k], key
+            entry, self.content[bucket][k] = self.content[bucket][k], entry
             bucket = self._other(bucket, mark)
             if 0 in self.slots[bucket]:
                 k = self.slots[bucket].index(0)
-                self.slots[bucket][k], self.keys[bucket][k] = mark, key
-                return True
-        return False
+                self.slots[bucket][k], self.content[bucket][k] = mark, entry
+                return None
+        return entry
 
-    def _grow(self) -> None:
-        held = self.payload
+    def _grow(self, left: tuple[bytes, tuple]) -> None:
+        """Built anew at twice the size, and again if need be, from the stored entries and ``left``."""
+        entries = [*self.items(), left]
         while True:
             self.n *= 2
             self._clear()
-            self.payload = dict(held)
-            if all(self._place(d) for d in held):
+            if all(self._place(*e) is None for e in entries):
+                self.held = len(entries)
                 return
 
     def __len__(self) -> int:
-        return len(self.payload)
+        return self.held
 
     def items(self):
-        return self.payload.items()
+        return [e for bucket in self.content for e in bucket if e is not None]
 
 
 def _later(a: tuple, b: tuple) -> bool:

@@ -4,8 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 a word is the sum over all its segmentations into pieces, by a forward pass; a text is the
 product over its words (runs of letters, lower case), so each distinct word is scored once and
 remembered. Piece probabilities are fitted by expectation-maximisation (forward-backward) on word
-counts from a bounded sample of the rows outside the held-out fold (``max_train`` rows by the
-hash of their id, a documented parameter).
+counts from a bounded sample of the rows outside the held-out fold (``max_train`` rows of each language by
+the hash of their id, a documented parameter).
 
 The model is (pieces in use) x (languages) floats, bounded by the vocabulary.
 """
@@ -19,44 +19,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_model import fold
 
 WORDS = re.compile(r"[^\W\d_]+")
-MAX_TRAIN, ROUNDS, LONGEST, CACHE = 2000, 3, 8, 800_000
-#: Words longer than this are cut into parts of it; sums then stay within the range of doubles.
-PART = 40
+#: Rows of each language to learn from, rounds of fitting, words that a worker remembers.
+MAX_TRAIN, ROUNDS, CACHE = 800, 3, 800_000
+#: Bytes of what it remembers about them; bounds it where languages are many.
+CACHE_BYTES = 32_000_000
+#: Sums over longer words are taken in logarithms, as they could leave the range of doubles.
+PLAIN = 40
 FLOOR = 1e-7
 
 
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters (Unicode category L), lower case."""
+    words = WORDS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # superscripts, fractions and the like count as word characters, yet are no letters
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def public_pieces(model: bytes) -> list[str]:
     """The vocabulary's pieces of letters, lower case, without space marks."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     pieces = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST and WORDS.fullmatch(p))
+    return sorted(p for p in pieces if p.isalpha())
 
 
-def spots(n: int) -> list[tuple[int, int]]:
+def spots(n: int, longest: int) -> list[tuple[int, int]]:
     """The stretches of a word of n letters that can be pieces, by their ends."""
-    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
 
 
 def by_length(words: list[str], index: dict[str, int]) -> Iterator[tuple[list[int], list[tuple[int, int]], np.ndarray]]:
-    """Words of one length together: their places, the stretches, and the piece in each stretch. Behind
-    the pieces stand an unknown letter and nothing (a longer stretch that is no piece)."""
+    """Words of one length together: their places, the stretches that are a piece or a letter in any of
+    them, and the piece in each stretch. Behind the pieces stand an unknown letter and nothing (a longer
+    stretch that is no piece)."""
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
     get, letter = index.get, len(index)
+    longest = max(map(len, index), default=1)
     for n, at in by.items():
-        where = spots(n)
-        for lo in range(0, len(at), 4096):
-            part = at[lo : lo + 4096]
-            yield part, where, np.array([[get(w[i:j], letter + (j - i > 1)) for i, j in where] for w in [words[k] for k in part]], np.int32)
+        where = spots(n, longest)
+        step = max(1, min(4096, 4_000_000 // len(where)))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
+            ids = np.array([[get(w[i:j], letter + (j - i > 1)) for i, j in where] for w in [words[k] for k in part]], np.int32)
+            used = np.flatnonzero((ids <= letter).any(axis=0))
+            yield part, [where[k] for k in used.tolist()], ids[:, used]
 
 
 def expected(groups: list, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -66,6 +83,19 @@ def expected(groups: list, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
     for part, where, ids in groups:
         n = where[-1][1]
         q = probs[ids]
+        if n > PLAIN:
+            with np.errstate(divide="ignore"):
+                q = np.log(q)
+            fore = [np.zeros(len(part))] + [np.full(len(part), -np.inf) for _ in range(n)]
+            back = [np.full(len(part), -np.inf) for _ in range(n)] + [np.zeros(len(part))]
+            for k, (i, j) in enumerate(where):
+                fore[j] = np.logaddexp(fore[j], fore[i] + q[:, k])
+            for k in range(len(where) - 1, -1, -1):
+                i, j = where[k]
+                back[i] = np.logaddexp(back[i], back[j] + q[:, k])
+            for k, (i, j) in enumerate(where):
+                out += np.bincount(ids[:, k], weights=counts[part] * np.exp(fore[i] + q[:, k] + back[j] - fore[n]), minlength=len(out))
+            continue
         fore = [np.ones(len(part))] + [np.zeros(len(part)) for _ in range(n)]
         for k, (i, j) in enumerate(where):
             fore[j] += fore[i] * q[:, k]
@@ -73,7 +103,7 @@ def expected(groups: list, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         for k in range(len(where) - 1, -1, -1):
             i, j = where[k]
             back[i] += back[j] * q[:, k]
-        share = counts[part] / np.maximum(fore[n], 1e-300)
+        share = counts[part] / fore[n]
         for k, (i, j) in enumerate(where):
             out += np.bincount(ids[:, k], weights=share * fore[i] * q[:, k] * back[j], minlength=len(out))
     return out[:-2] + 0.01
@@ -82,10 +112,11 @@ def expected(groups: list, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
 def fit(counts: dict[str, Counter], pieces: list[str]) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, pieces in use and their probabilities [pieces, languages]."""
     langs = sorted(counts)
+    longest = max(map(len, pieces), default=1)
     seen: set[str] = set()
     for c in counts.values():
         for w in c:
-            seen.update(w[i : i + k] for i in range(len(w)) for k in range(1, LONGEST + 1))
+            seen.update(w[i : i + k] for i in range(len(w)) for k in range(1, longest + 1))
     used = [p for p in pieces if p in seen]
     index = {p: k for k, p in enumerate(used)}
     cols = []
@@ -111,23 +142,31 @@ class Scorer:
         # Behind the pieces: an unknown letter, and nothing (a longer stretch that is no piece).
         self.p = np.concatenate([p.reshape(len(used), n), np.full((1, n), FLOOR), np.zeros((1, n))])
         self.known: dict[str, int] = {}
-        self.table = np.zeros((CACHE, n))
+        self.cache = max(1000, min(CACHE, CACHE_BYTES // (8 * max(1, n))))
+        self.table = np.zeros((self.cache, n))
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Of each word (up to PART letters), in each language, the log of the summed probability of all
-        its segmentations."""
+        """Of each word, in each language, the log of the summed probability of all its segmentations."""
         out = np.zeros((len(words), len(self.langs)))
         for part, where, ids in by_length(words, self.index):
             n = where[-1][1]
+            if n > PLAIN:
+                with np.errstate(divide="ignore"):
+                    log = np.log(self.p)
+                fore = [np.zeros((len(part), len(self.langs)))] + [np.full((len(part), len(self.langs)), -np.inf) for _ in range(n)]
+                for k, (i, j) in enumerate(where):
+                    fore[j] = np.logaddexp(fore[j], fore[i] + log[ids[:, k]])
+                out[part] = fore[n]
+                continue
             fore = [np.ones((len(part), len(self.langs)))] + [np.zeros((len(part), len(self.langs))) for _ in range(n)]
             for k, (i, j) in enumerate(where):
                 fore[j] += fore[i] * self.p[ids[:, k]]
-            out[part] = np.log(np.maximum(fore[n], 1e-300))
+            out[part] = np.log(fore[n])
         return out
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.known.clear()
             new = list(words)
         if new:
@@ -152,14 +191,12 @@ class Scorer:
             held.clear()
 
         for k, text in enumerate(texts):
-            words = WORDS.findall((text or "").lower())
-            if words and max(map(len, words)) > PART:
-                words = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+            words = letter_runs(text or "")
             seen[k] = bool(words)
-            for lo in range(0, len(words), CACHE // 4):
-                held.append((k, words[lo : lo + CACHE // 4]))
+            for lo in range(0, len(words), self.cache // 4):
+                held.append((k, words[lo : lo + self.cache // 4]))
                 n += len(held[-1][1])
-                if n >= CACHE // 2:
+                if n >= self.cache // 2:
                     score()
                     n = 0
         score()
@@ -172,7 +209,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            counts.update((lang, w[i : i + PART]) for w in WORDS.findall((text.as_py() or "").lower()) for i in range(0, len(w), PART))
+            counts.update((lang, w) for w in letter_runs(text.as_py() or ""))
     rows = sorted(counts.items())
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["lang", "word", "n"])
 
@@ -183,8 +220,10 @@ def train(docs: DataFrame, model_path: str, *, max_train: int = MAX_TRAIN) -> by
         pieces = public_pieces(f.read())
     order = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    picked = usable.select(F.col("doc_id").alias("__id"), order.alias("rank")).orderBy("rank").limit(max_train).distinct()
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("__id")))  # max_train rows at most
+    # a limit within a window is taken in each task before the shuffle
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "__id"))
+    picked = usable.select(F.col("doc_id").alias("__id"), "lang", order.alias("rank")).withColumn("nth", nth).where(F.col("nth") <= max_train).select("__id").distinct()
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("__id")))  # max_train rows of a language at most
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def learn(table: pa.Table) -> pa.Table:

@@ -94,14 +94,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken whole, and cut to its first
     ``part`` words where the budget ends within it; rows that are not taken go. All columns stay.
 
-    Documents without words take no part. Rows that repeat an id are told apart by their size;
-    where that is the same too, their takings are added up and dealt out as a whole."""
-    plan = mix_sources(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("__copies"), F.sum("part").alias("__part"), F.count("*").alias("__same"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__copies", "__part", "__same")
+    Documents without words take no part. Rows that repeat an id are told apart by their size; where that is
+    the same too, their takings are added up and dealt out: the copies as evenly as they go, and each cut
+    taking to one of the rows, so that the mix has the planned words."""
+    plan = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.sum("taken").alias("__taken"), F.sum("copies").alias("__copies"), F.collect_list(F.when(F.col("part") > 0, F.col("part"))).alias("__parts"), F.count("*").alias("__same"))
+    plan = plan.where("__taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__copies", F.array_sort("__parts").alias("__parts"), "__same")
     own = docs.withColumn("__words", n_words(F.coalesce(F.col("text"), F.lit(""))))
     out = own.join(plan, own["doc_id"].eqNullSafe(plan["__id"]) & (own["__words"] == plan["__size"]))
-    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.ceil(F.col("__copies") / F.col("__same")), F.lit(1).cast("long"))), lambda _: F.lit(0).cast("long"))
-    takes = F.concat(F.when(F.col("__copies") > 0, copies).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")))
+    # rows that repeat are numbered; the window holds what repeats alone
+    again = Window.partitionBy("__id", "__size").orderBy(F.xxhash64("text"))
+    single = out.where("__same = 1").withColumn("__nth", F.lit(0).cast("long"))
+    out = single.unionByName(out.where("__same > 1").withColumn("__nth", (F.row_number().over(again) - 1).cast("long")))
+    mine = (F.floor(F.col("__copies") / F.col("__same")) + (F.col("__nth") < F.col("__copies") % F.col("__same")).cast("long")).cast("int")
+    takes = F.concat(F.array_repeat(F.lit(0).cast("long"), mine), F.filter("__parts", lambda _, k: F.pmod(k.cast("long"), F.col("__same")) == F.col("__same") - 1 - F.col("__nth")))
     out = out.withColumn("__take", F.explode(takes))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("__take") > 0, F.concat_ws("", F.slice(words, F.lit(1), F.greatest(F.col("__take"), F.lit(1)).cast("int")))).otherwise(F.col("text"))

@@ -137,6 +137,32 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[math.log(total(w, k)) for k in (0, 1)] for w in words])
 
 
+def test_long_words_and_pieces():
+    """Words of more than 40 letters and pieces of more than 8: all segmentations, forward and in the fit."""
+    pieces = ["a", "b", "ab", "abababababab", "bababababa"]
+    p = np.array([0.3, 0.2, 0.2, 0.2, 0.1])
+    word = "ab" * 30 + "zb"
+    ways = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for n in range(1, min(j, 12) + 1):
+            piece = word[j - n : j]
+            ways[j] += ways[j - n] * (p[pieces.index(piece)] if piece in pieces else language_id.FLOOR if n == 1 else 0)
+    got = language_id.Scorer(["x"], pieces, p[:, None]).forward([word, "ab", "ab" * 40_000])
+    assert got[0][0] == pytest.approx(math.log(ways[-1])) and np.isfinite(got).all()
+    index = {x: k for k, x in enumerate(pieces)}
+    for w in ("ab" * 10, "ab" * 30):  # expected letters add up to the word, in doubles and in logarithms
+        e = language_id.expected(list(language_id.by_length([w], index)), np.array([2.0]), p) - 0.01
+        assert sum(n * len(x) for n, x in zip(e, pieces, strict=True)) == pytest.approx(2 * len(w))
+
+
+def test_letters_only(spark):
+    assert language_id.letter_runs("x² ½ Ⅷ Straße_7b") == ["x", "straße", "b"]
+    rows = [(k, "the and of " * 5, "en", "a") for k in range(20)] + [(50, "² ½ Ⅷ 7", "en", "a"), (51, "the", None, "a")]
+    rows += [(60 + k, "rare words of a tongue", "xx", "a") for k in range(3)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(make(spark, rows), piece_model(), max_train=5).collect()}
+    assert got[50] == "und" and got[51] == "en" and got[61] == "xx"
+
+
 def test_language_on_held_out_rows(spark, odd, empty):
     rng = random.Random(14)
     rows = [(i, prose(rng, rng.randint(15, 80), lang) + ".", lang if i % 7 else None, "a") for i in range(600) for lang in [rng.choice(["en", "fr", "de"])]]

@@ -135,10 +135,36 @@ def test_shards(corpus, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_growing_moves_slots_to_the_new_shard_only(corpus):
-    slots = sharding.slot_bytes(sharding.slotted(corpus[1], 64)).cache()
-    old = sharding.build_map(slots, 4)
-    new = sharding.add_shard(slots, old, 4)
-    a, b = ({r["virtual_slot"]: r["shard"] for r in m.collect()} for m in (old, new))
-    moved = [s for s in a if a[s] != b[s]]
-    assert moved and all(b[s] == 4 for s in moved) and {r["version"] for r in new.collect()} == {2}
+def test_growing_moves_slots_to_the_new_shard_only(spark, corpus, tmp_path):
+    """A map is stored, loaded, edited and used; rows in slots that were empty have a shard, too."""
+    path = f"file://{tmp_path}/map"
+    part = corpus[1].where("doc_id % 9 = 0")
+    slots = sharding.slot_bytes(sharding.slotted(part, 64))
+    sharding.save_map(sharding.build_map(slots, 4, 64), path)
+    old = sharding.load_map(spark, path)
+    assert old.count() == 64 and {r["shard"] for r in old.collect()} == {0, 1, 2, 3}
+    sharding.save_map(sharding.add_shard(sharding.slot_bytes(sharding.slotted(corpus[1], 64)), old, 4), path)
+    new = sharding.load_map(spark, path)
+    assert {r["version"] for r in new.collect()} == {2} and sharding.load_map(spark, path, 1).count() == 64
+    a, b = ({r["doc_id"]: r for r in sharding.shard_documents(corpus[1], n_slots=64, slot_map=m).collect()} for m in (old, new))
+    assert len(a) == len(b) == corpus[1].count()
+    moved = [i for i in a if a[i]["shard"] != b[i]["shard"]]
+    assert moved and all(b[i]["shard"] == 4 for i in moved) and {r["map_version"] for r in b.values()} == {2}
+
+
+def test_groups_of_equal_texts_are_split(spark):
+    got = sharding.shard_documents(make(spark, [(i, "the same text", "en", "a") for i in range(400)])).collect()
+    loads = Counter(r["shard"] for r in got)
+    assert len(loads) == 40 and max(loads.values()) <= 20
+
+
+def test_mix_delivers_what_it_plans(spark):
+    """Rows that repeat id and size share their takings without loss or gain."""
+    rows = [(1, "a b c d e f g", "en", "x")] * 3 + [(2, "h i j", "en", "x")] * 2 + [(k, "word " * k, "en", "y") for k in range(3, 9)] + [(3, "other words here", "en", "y")]
+    docs = make(spark, rows)
+    for share in (0.3, 0.5, 0.9, 1.5):
+        planned = mixing.mix_sources(docs, share=share).groupBy("doc_id").sum("taken").collect()
+        mixed = Counter()
+        for r in mixing.mixed_documents(docs, share=share).collect():
+            mixed[r["doc_id"]] += len(r["text"].split())
+        assert {i: n for i, n in planned if n} == dict(mixed)
