@@ -15,10 +15,10 @@ register = registrar(ENTRIES)
 _W = "regexp_extract_all(text, '([^ \\t\\n\\r]+)', 1)"
 
 
-@register("s01_tokenize", f"SELECT doc_id, unnest(range(0, len(w)))::BIGINT AS pos, unnest(w) AS token FROM (SELECT doc_id, ({_W})[1:512] AS w FROM documents) WHERE len(w) > 0")
+@register("s01_tokenize", f"SELECT doc_id, unnest(range(0, len(w)))::BIGINT AS pos, unnest(w) AS token FROM (SELECT doc_id, {_W} AS w FROM documents) WHERE len(w) > 0")
 def _(spark, d):
-    """All documents, each cut to a context of 512 tokens as a model would see it."""
-    return tokens.tokenize(table(spark, d, "documents"), context=512)
+    """All tokens of all documents; ``context`` would cut them as a model does."""
+    return tokens.tokenize(table(spark, d, "documents"))
 
 
 @register("s03_chat_documents", "SELECT conv_id, count(*)::BIGINT AS n_messages, bool_and(role IN ('system', 'user', 'assistant') AND regexp_matches(text, '[^ \\t\\n\\r]')) AND bool_or(role = 'assistant') AS valid FROM conversations GROUP BY conv_id")

@@ -121,9 +121,14 @@ def _(spark, d):
     return erf.suffix_recovery(s, ["row_id"], "component", "target", 8, 1)
 
 
-@register("strict_json_labels", "SELECT event_id, json_extract_string(props, '$.k')::VARCHAR AS k, json_valid(props) AS ok FROM events WHERE FALSE")
+@register("strict_json_labels", "SELECT event_id, round(value, 4) + 0.0 AS first, (event_id % 5)::DOUBLE AS second FROM events WHERE event_id % 4 = 0")
 def _(spark, d):
-    """Section 2.8: {"0": .., "1": ..} must hold exactly the indexed keys; others give no labels."""
+    """Section 2.8: {"0": .., "1": ..} must hold exactly the indexed keys; a further key, one too few and
+    text that is no such object give no labels."""
     e = table(spark, d, "events")
-    parsed = S.indexed_labels(F.col("props"), 2)
-    return e.where(parsed.isNotNull()).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.lit(True).alias("ok"))
+    v, w, kind = F.round("value", 4).cast("string"), (F.col("event_id") % 5).cast("string"), F.col("event_id") % 4
+    whole = F.concat(F.lit('{"0": '), v, F.lit(', "1": '), w, F.lit("}"))
+    more = F.concat(F.lit('{"0": '), v, F.lit(', "1": '), w, F.lit(', "2": 1}'))
+    less = F.concat(F.lit('{"0": '), v, F.lit("}"))
+    e = e.withColumn("labels", S.indexed_labels(F.when(kind == 0, whole).when(kind == 1, more).when(kind == 2, less).otherwise(F.col("props")), 2))
+    return e.where("labels IS NOT NULL").select("event_id", (F.round(F.col("labels")[0], 4) + F.lit(0.0)).alias("first"), F.col("labels")[1].alias("second"))

@@ -166,9 +166,11 @@ def _(spark, d):
     return tidy(audit.stored_mean_check(o, kept, ["p"], "mean").select("p", "mean", "ok"), 2)
 
 
-@register("a68_finite_audit", "SELECT 0::BIGINT AS value, 0::BIGINT AS event_id")
+@register("a68_finite_audit", "SELECT count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 11 = 0)::BIGINT AS value, 0::BIGINT AS event_id FROM events")
 def _(spark, d):
-    e = table(spark, d, "events").select("value", F.col("event_id").cast("double").alias("event_id"))
+    """A68 over events some of whose values are made NaN or infinite."""
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    e = table(spark, d, "events").select(value.alias("value"), F.col("event_id").cast("double").alias("event_id"))
     return joins.finite_audit(e, ["value", "event_id"])
 
 

@@ -141,7 +141,7 @@ def _(spark, d):
     return _long(vectors(spark, d).withColumn("v", V.join_sign(V.split_sign(F.col("vec")))), "v")
 
 
-@register("p26_interchange", sql("SELECT a.row_id, a.component, CASE WHEN a.component < 10 THEN b.score ELSE a.score END AS score FROM s a JOIN s b ON b.row_id = a.row_id + 1 AND a.component = b.component", "row_id component", "score"))
+@register("p26_interchange", "SELECT row_id, (i - 1)::BIGINT AS component, round((CASE WHEN i <= 10 THEN y[i] ELSE x[i] END)::DOUBLE, 6) + 0.0 AS score FROM (SELECT a.vec_id AS row_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), range(1, 65) t(i)")
 def _(spark, d):
     """Base rows meet source rows by key."""
     v = vectors(spark, d)
@@ -200,9 +200,9 @@ def _(spark, d):
     return tidy(scores(spark, d).groupBy("row_id").agg(F.sum(t).alias("total"), F.sum(F.when(F.col("component") < 5, t).otherwise(0.0)).alias("explained"), F.sum(F.when(F.col("component") >= 5, t).otherwise(0.0)).alias("remainder")).withColumnRenamed("total", "score"))
 
 
-@register("f_scalar_functions", "SELECT doc_id, round(sqrt(n_chars), 6) AS root, replace(left(text, 40), chr(10), '↵') AS visible, regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, sha256(text) AS sha, ('0x' || left(sha256('7:' || doc_id), 15))::BIGINT AS seed FROM documents")
+@register("f_scalar_functions", "SELECT doc_id, round(sqrt(n_chars), 6) AS root, md5(replace(text, chr(10), '↵')) AS visible, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html, sha256(text) AS sha, ('0x' || left(sha256('7:' || doc_id), 15))::BIGINT AS seed FROM documents")
 def _(spark, d):
-    """Section 2.8: strings, hashes, derived seeds."""
+    """Section 2.8: strings (of whole texts, as digests), hashes, derived seeds."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     t = F.col("text")
-    return docs.select("doc_id", F.round(F.sqrt("n_chars"), 6).alias("root"), S.visible_newlines(F.substring(t, 1, 40)).alias("visible"), S.slug(F.substring(t, 1, 30)).alias("slug"), S.html_escape(F.substring(t, 1, 60)).alias("html"), F.sha2(t, 256).alias("sha"), S.derived_seed(F.lit("7"), F.col("doc_id").cast("string")).alias("seed"))
+    return docs.select("doc_id", F.round(F.sqrt("n_chars"), 6).alias("root"), F.md5(S.visible_newlines(t)).alias("visible"), F.md5(S.slug(t)).alias("slug"), F.md5(S.html_escape(t)).alias("html"), F.sha2(t, 256).alias("sha"), S.derived_seed(F.lit("7"), F.col("doc_id").cast("string")).alias("seed"))

@@ -44,10 +44,11 @@ def _(spark, d):
     return windows.context_window(tokens.tokenize(table(spark, d, "documents")), 4, 4).drop("target_end")
 
 
-@register("w06_asymmetric_window", f"WITH {_TOK} SELECT doc_id, pos, md5(array_to_string(list(token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 8 FOLLOWING), '')) AS context FROM tok WHERE pos >= 1")
+@register("w06_asymmetric_window", f"WITH {_TOK} SELECT * FROM (SELECT doc_id, pos, md5(array_to_string(list(token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 8 FOLLOWING), '')) AS context FROM tok) WHERE pos >= 1")
 def _(spark, d):
-    t = tokens.tokenize(table(spark, d, "documents")).where("pos >= 1")
-    return windows.context_window(t, 24, 8).select("doc_id", "pos", F.md5("context").alias("context"))
+    """The first token is no target, yet stands in the contexts of others."""
+    t = tokens.tokenize(table(spark, d, "documents"))
+    return windows.context_window(t, 24, 8).where("pos >= 1").select("doc_id", "pos", F.md5("context").alias("context"))
 
 
 @register("w07_prefix_budget", f"WITH {_TOK}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) SELECT doc_id, n::BIGINT AS n, least(n, 20000 - before)::BIGINT AS take FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) WHERE before < 20000")
