@@ -31,8 +31,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TRIM = "\"'()[]{}<>,;.!?"
-#: Instances: at least this many digits, or an at sign.
-LEAST_DIGITS = 3
 #: A pattern counts from so many distinct instances of a kind and at this share of all its instances.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _norm(word: str) -> str:
-    return re.sub(r"[0-9]+", "0", word.strip(_TRIM).lower())[:40]
+    return re.sub(r"[0-9]+", "0", word.strip(_TRIM).lower())
 
 
 def _hash(*parts: str) -> int:
@@ -102,7 +100,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     for a, b in words:
         raw = text[a:b]
         body = raw.strip(_TRIM)
-        if not body or ("@" not in body and sum(c in "0123456789" for c in body) < LEAST_DIGITS):
+        if not _ANY.search(body):  # identifiers, as far as this operator goes, have a digit or an at sign
             continue
         lo = a + raw.index(body)
         k = bisect_left(spans, (lo + len(body), -1)) - 1
