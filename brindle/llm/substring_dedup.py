@@ -277,7 +277,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """Components of the rows of each group and the links found: (row, lo, hi, row, lo, hi, similarity), in
-    columns. A row is done when it was compared with all rows that it was not joined with by then.
+    columns. A row is done when it was compared with all rows that it was not joined with by then. Rows of
+    the largest component of a group wait: two of them are joined, and the others are compared with them.
     Groups are numbered from 0, in the order of the rows. Small groups are done side by side, a row of each at
     a time; what is open when few groups are left is done group by group."""
     comp = np.arange(len(doc))
@@ -298,18 +299,26 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
                         own = comp[begin[group[x]] : begin[group[x] + 1]]
                         own[own == comp[x]] = comp[y]
 
-    def screened(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The rows that others may link to, by group, those with the most common shingles first; entries."""
+    def screened(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that others may link to, by group, those that wait last, those with the most common shingles
+        first; which of them wait; entries."""
         row, col = np.nonzero(around[rest])
         row = rest[row]
         key = group[row].astype(np.uint64) << _U(32) | around[row, col]
         support = supported(key, row, comp, doc)
-        order = rest[np.lexsort((rest, -support[rest], group[rest]))]
-        return order[support[order] >= LEAST_HITS], row, col, key
+        order = rest[support[rest] >= LEAST_HITS]
+        # the largest component of each group, the first of equal ones
+        name, at, n = np.unique(comp[order], return_inverse=True, return_counts=True)
+        ranked = np.lexsort((name, -n, group[name]))
+        largest = np.zeros(len(name), bool)
+        largest[ranked[np.concatenate([[True], group[name[ranked]][1:] != group[name[ranked]][:-1]])] if len(name) else ranked] = True
+        waits = largest[at] & (n[at] > 1)
+        ranks = np.lexsort((order, -support[order], waits, group[order]))
+        return order[ranks], waits[ranks], row, col, key
 
     rest = np.arange(len(doc))
     while len(rest) > 1:
-        order, row, col, key = screened(rest)
+        order, _, row, col, key = screened(rest)
         if len(order) < 2:
             return comp, links
         first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
@@ -336,13 +345,15 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
     for g in np.unique(group[rest]).tolist():
         left = rest[group[rest] == g]
         while len(left) > 1:
-            order, row, col, key = screened(left)
+            order, waits, row, col, key = screened(left)
+            if len(order) < 2:
+                break
             ranked = np.argsort(key, kind="stable")
             key, row = key[ranked], row[ranked]
             done = np.zeros(len(doc), bool)
             wanted = np.zeros(len(doc), bool)
             wanted[order] = True
-            for y in order[: max(64, len(order) // 8)].tolist():
+            for y in order[~waits][: max(64, len(order) // 8)].tolist():
                 done[y] = True
                 values = np.unique(around[y])
                 values = values[values != 0]
