@@ -349,7 +349,7 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
             if len(order) < 2:
                 break
             ranked = np.argsort(key, kind="stable")
-            key, row = key[ranked], row[ranked]
+            key, row, col = key[ranked], row[ranked], col[ranked]
             done = np.zeros(len(doc), bool)
             wanted = np.zeros(len(doc), bool)
             wanted[order] = True
@@ -363,7 +363,12 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
                 hits = np.bincount(row[at], minlength=len(doc))
                 near = np.flatnonzero((hits >= LEAST_HITS) & wanted & ~done & (comp != comp[y]) & (doc != doc[y]))
                 if len(near):
-                    settle(near, np.full(len(near), y), np.isin(around[near], values))
+                    place = np.full(len(doc), -1)
+                    place[near] = np.arange(len(near))
+                    at = at[place[row[at]] >= 0]
+                    hit = np.zeros((len(near), around.shape[1]), bool)
+                    hit[place[row[at]], col[at]] = True
+                    settle(near, np.full(len(near), y), hit)
             left = order[~done[order]]
     return comp, links
 
