@@ -54,28 +54,42 @@ _U = np.uint64
 _SEEDS = [_U(0x9E3779B97F4A7C15 * (2 * j + 1) & 2**64 - 1) for j in range(FUNCTIONS)]
 
 
+def least_places(h: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The places that hold the least value of some stretch of ``least``, by sliding minima."""
+    low, width = h, 1
+    while width < least:
+        step = min(width, least - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    # of the stretches around a place the greatest minimum
+    edge = np.zeros(least - 1, h.dtype)
+    high, width = np.concatenate([edge, low, edge]), 1
+    while width < least:
+        step = min(width, least - width)
+        high = np.maximum(high[:-step], high[step:])
+        width += step
+    return np.flatnonzero(high == h)
+
+
 def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(l, c, r), both ends included, of the tree's nodes that span ``least`` or more; c is the first place
-    of the least value. All its places part the node at once, so that the depth follows the number of
-    distinct values: expected n log n steps of numpy, however repetitive the text."""
-    out, todo = [], [(0, len(h))]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < least:
-            continue
-        part = h[lo:hi]
-        c = lo + int(part.argmin())
-        out.append((lo, c, hi - 1))
-        at = np.flatnonzero(part == h[c])
-        if len(at) == 1:
-            todo.append((lo, c))
-            todo.append((c + 1, hi))
-            continue
-        ends = np.concatenate([at + lo, [hi]])
-        starts = np.concatenate([[lo], at + lo + 1])
-        long = ends - starts >= least
-        todo += zip(starts[long].tolist(), ends[long].tolist(), strict=True)
-    return out
+    of the least value, all of whose places part the node at once. Smaller nodes are left out before the
+    tree is built: what bounds a node of ``least`` or more is itself the least value of a longer stretch. The
+    rest goes over a stack once."""
+    if len(h) < least:
+        return []
+    out: list[tuple[int, int, int]] = []
+    path: list[list[int]] = []  # value, left end, first place, last place, from the root
+    at = least_places(h, least)
+    for x, v in zip(at.tolist(), h[at].tolist(), strict=True):
+        while path and path[-1][0] > v:
+            _, l, c, _ = path.pop()
+            out.append((l, c, x - 1))
+        if path and path[-1][0] == v:
+            path[-1][3] = x
+        else:
+            path.append([v, path[-1][3] + 1 if path else 0, x, x])
+    return out + [(l, c, len(h) - 1) for _, l, c, _ in path]
 
 
 def hashed(seq: np.ndarray, j: int) -> np.ndarray:
