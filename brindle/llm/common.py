@@ -20,10 +20,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local folder only where none is set (tests)."""
+    """The cluster's checkpoint folder; a fresh local folder only where none is set on a local master (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="brindle-")
