@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words that one worker remembers.
-CACHE = 100_000
-_ids: dict[bytes, int] = {}
-
 #: Odd multipliers of the places in a shingle; shorter sequences use those of their own length.
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -24,16 +20,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode().lower().split()
-    known = _ids
-    try:
-        return np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        if len(known) >= CACHE:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def sequence(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -251,35 +251,73 @@ def _arrow(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, types[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def supported(key: np.ndarray, row: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each row, its entries whose key also stands in a row of another component and document."""
+def numbered(around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the shingles of each row, equal ones of a group alike, in columns; what holds nothing has
+    the number after the last. And a row's number of columns for each shingle that it has: number, row, columns,
+    sorted by number and row."""
+    row, col = np.nonzero(around)
+    key = group[row].astype(np.uint64) << _U(32) | around[row, col]
     order = np.argsort(key, kind="stable")
-    k, r = key[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    held = np.diff(np.concatenate([first, [len(k)]]))
+    key, row, col = key[order], row[order], col[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    number = np.cumsum(fresh) - 1
+    ids = np.full(around.shape, fresh.sum(), np.int32)
+    ids[row, col] = number
+    first = np.flatnonzero(fresh | np.concatenate([[True], row[1:] != row[:-1]])[: len(key)])
+    return ids, number[first], row[first], np.diff(np.concatenate([first, [len(key)]]))
+
+
+def supported(key: np.ndarray, row: np.ndarray, held: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row, its columns whose shingle also stands in a row of another component and document; keys are sorted."""
+    if len(key) == 0:
+        return np.zeros(len(comp))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ok = np.ones(len(first), bool)
     for name in (comp, doc):
-        of = name[r]
+        of = name[row]
         ok &= np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
-    return np.bincount(r, np.repeat(ok, held), len(comp))
+    return np.bincount(row, np.repeat(ok, np.diff(np.concatenate([first, [len(key)]]))) * held, len(comp))
+
+
+_MOST = (2 * REACH + 1) // 9
+#: Misses to the left and to the right that a stretch may take in.
+_LEFT, _RIGHT = (np.array(z) for z in zip(*[(x, y) for x in range(_MOST + 1) for y in range(_MOST + 1 - x)], strict=True))
+_NEEDED = (9 * (_LEFT + _RIGHT)).astype(np.int16)
+_NEVER = -1000
+#: Rows whose stretches are sought at once; bounds memory.
+STRETCH_AT_ONCE = 2048
+
+
+def _misses(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and k up to _MOST: the columns before the miss after k others, and whether a hit stands
+    right before it. What lies beyond the last column counts as missed."""
+    n, width = side.shape
+    row, col = np.nonzero(~side)
+    many = np.bincount(row, minlength=n)
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    few = rank <= _MOST
+    row, col, rank = row[few], col[few], rank[few]
+    at = (width + np.maximum(np.arange(_MOST + 1) - many[:, None], 0)).astype(np.int16)
+    at[row, rank] = col
+    return at, np.diff(at, axis=1, prepend=np.int16(-1)) > 1
 
 
 def stretch(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a mask the longest stretch through the middle that begins and ends with a hit and
     has hits in eight ninths or more, as two sides of a similarity of 0.8: first and last column. A stretch
     is told by the misses it takes in on either side, of which there can be only few."""
-    most = (2 * REACH + 1) // 9
-    ends = []
-    for side in (hit[:, REACH::-1], hit[:, REACH:]):
-        missed = np.cumsum(np.concatenate([~side, np.ones((len(hit), most + 2), bool)], axis=1), axis=1, dtype=np.int16)
-        at = [(missed > k).argmax(axis=1) for k in range(most + 1)]
-        ends.append([(d, (d > 0) if k == 0 else d - at[k - 1] > 1) for k, d in enumerate(at)])
-    best, lo, hi = np.zeros(len(hit), np.int64), np.full(len(hit), REACH), np.full(len(hit), REACH)
-    for x, (left, starts) in enumerate(ends[0]):
-        for y, (right, stops) in enumerate(ends[1][: most + 1 - x]):
-            n = left + right - 1
-            longer = (n > best) & (n >= 9 * (x + y)) & starts & stops
-            best[longer], lo[longer], hi[longer] = n[longer], REACH - left[longer] + 1, REACH + right[longer] - 1
+    if len(hit) > STRETCH_AT_ONCE:
+        parts = [stretch(hit[k : k + STRETCH_AT_ONCE]) for k in range(0, len(hit), STRETCH_AT_ONCE)]
+        return np.concatenate([lo for lo, _ in parts]), np.concatenate([hi for _, hi in parts])
+    (left, starts), (right, stops) = _misses(hit[:, REACH::-1]), _misses(hit[:, REACH:])
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    n = np.take(np.where(starts, left, _NEVER).astype(np.int16), _LEFT, axis=1) + np.take(np.where(stops, right, _NEVER).astype(np.int16), _RIGHT, axis=1) - np.int16(1)
+    n *= n >= _NEEDED
+    best = n.argmax(axis=1)
+    rows = np.arange(len(hit))
+    found = n[rows, best] > 0
+    lo = np.where(found, REACH - left[rows, _LEFT[best]] + 1, REACH)
+    hi = np.where(found, REACH + right[rows, _RIGHT[best]] - 1, REACH)
     return lo, hi
 
 
@@ -303,23 +341,24 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
         """Compares rows with one row each, given which of their shingles it has."""
         lo, hi = stretch(hit)
         far = hi - lo + 1 >= LEAST
-        near, of = near[far], of[far]
+        near, of, hit = near[far], of[far], hit[far]
         for k in range(0, len(near), 1024):
             part, with_ = near[k : k + 1024], of[k : k + 1024]
-            for x, y, got in zip(part.tolist(), with_.tolist(), verified(around[part], around[with_]), strict=True):
+            for x, y, got in zip(part.tolist(), with_.tolist(), verified(around[part], around[with_], hit[k : k + 1024]), strict=True):
                 if got:
                     links.append((x, got[0], got[1], y, got[2], got[3], got[4]))
                     if comp[x] != comp[y]:
                         own = comp[begin[group[x]] : begin[group[x] + 1]]
                         own[own == comp[x]] = comp[y]
 
-    def screened(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, *entries = numbered(around, group)
+    #: Columns of each shingle in the row that others are compared with.
+    theirs = np.zeros(ids.max(initial=0) + 1, np.int32)
+
+    def screened(rest: np.ndarray, key: np.ndarray, row: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that others may link to, by group, those that wait last, those with the most common shingles
-        first; which of them wait; entries."""
-        row, col = np.nonzero(around[rest])
-        row = rest[row]
-        key = group[row].astype(np.uint64) << _U(32) | around[row, col]
-        support = supported(key, row, comp, doc)
+        first; which of them wait."""
+        support = supported(key, row, held, comp, doc)
         order = rest[support[rest] >= LEAST_HITS]
         # the largest component of each group, the first of equal ones
         name, at, n = np.unique(comp[order], return_inverse=True, return_counts=True)
@@ -328,13 +367,26 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
         largest[ranked[np.concatenate([[True], group[name[ranked]][1:] != group[name[ranked]][:-1]])] if len(name) else ranked] = True
         waits = largest[at] & (n[at] > 1)
         ranks = np.lexsort((order, -support[order], waits, group[order]))
-        return order[ranks], waits[ranks], row, col, key
+        return order[ranks], waits[ranks]
+
+    def common(row: np.ndarray, held: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Rows with enough columns that the other row has as well, and as many there; else no link is possible.
+        Texts that repeat a few words have many on one side alone."""
+        return (np.bincount(row, held * (other > 0), len(doc)) >= LEAST_HITS) & (np.bincount(row, other, len(doc)) >= LEAST_HITS)
+
+    def among(rest: np.ndarray, key: np.ndarray, row: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = np.zeros(len(doc), bool)
+        inside[rest] = True
+        inside = inside[row]
+        return key[inside], row[inside], held[inside]
 
     rest = np.arange(len(doc))
+    key, row, held = entries
     while len(rest) > 1:
-        order, _, row, col, key = screened(rest)
+        order, _ = screened(rest, key, row, held)
         if len(order) < 2:
             return comp, links
+        key, row, held = among(order, key, row, held)
         first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
         leaders = order[first]
         if len(leaders) < 16:
@@ -344,56 +396,49 @@ def linked(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.n
         of[order] = np.repeat(leaders, np.diff(np.concatenate([np.flatnonzero(first), [len(order)]])))
         lead[leaders] = True
         open_ = (of >= 0) & (comp != comp[of]) & (doc != doc[of])
-        held = np.sort(key[lead[row]])
-        mine = open_[row]
-        row, col, key = row[mine], col[mine], key[mine]
-        met = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
-        near = np.flatnonzero(np.bincount(row, met, len(doc)) >= LEAST_HITS)
-        place = np.full(len(doc), -1)
-        place[near] = np.arange(len(near))
-        met &= place[row] >= 0
-        hit = np.zeros((len(near), around.shape[1]), bool)
-        hit[place[row[met]], col[met]] = True
-        settle(near, of[near], hit)
+        led = lead[row]
+        theirs[key[led]] = held[led]
+        near = np.flatnonzero(common(row, held, theirs[key]) & open_)
+        settle(near, of[near], theirs[ids[near]] > 0)
+        theirs[key[led]] = 0
         rest = order[~first]
+        key, row, held = among(rest, key, row, held)
     for g in np.unique(group[rest]).tolist():
         left = rest[group[rest] == g]
+        key, row, held = among(left, *entries)
         while len(left) > 1:
-            order, waits, row, col, key = screened(left)
+            order, waits = screened(left, key, row, held)
             if len(order) < 2:
                 break
-            ranked = np.argsort(key, kind="stable")
-            key, row, col = key[ranked], row[ranked], col[ranked]
-            done = np.zeros(len(doc), bool)
-            wanted = np.zeros(len(doc), bool)
-            wanted[order] = True
+            key, row, held = among(order, key, row, held)
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            names, ends = key[begins], np.concatenate([begins[1:], [len(key)]])
+            done = np.ones(len(doc), bool)
+            done[order] = False
             for y in order[~waits][: max(64, len(order) // 8)].tolist():
                 done[y] = True
-                values = np.unique(around[y])
-                values = values[values != 0]
-                mine = np.uint64(g) << _U(32) | values.astype(np.uint64)
-                lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                hits = np.bincount(row[at], minlength=len(doc))
-                near = np.flatnonzero((hits >= LEAST_HITS) & wanted & ~done & (comp != comp[y]) & (doc != doc[y]))
+                own = ids[y][around[y] != 0]
+                np.add.at(theirs, own, 1)
+                at = np.searchsorted(names, np.unique(own))
+                lo, n = begins[at], ends[at] - begins[at]
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                near = np.flatnonzero(common(row[at], held[at], theirs[key[at]]) & ~done & (comp != comp[y]) & (doc != doc[y]))
                 if len(near):
-                    place = np.full(len(doc), -1)
-                    place[near] = np.arange(len(near))
-                    at = at[place[row[at]] >= 0]
-                    hit = np.zeros((len(near), around.shape[1]), bool)
-                    hit[place[row[at]], col[at]] = True
-                    settle(near, np.full(len(near), y), hit)
+                    settle(near, np.full(len(near), y), theirs[ids[near]] > 0)
+                theirs[own] = 0
             left = order[~done[order]]
+            key, row, held = among(left, key, row, held)
     return comp, links
 
 
-def verified(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
+def verified(a: np.ndarray, b: np.ndarray, one: np.ndarray | None = None) -> list[tuple[int, int, int, int, float] | None]:
     """For pairs of rows of surroundings (0: nothing) a passage of LEAST shingles or more through the middle of
     both, the longest found: where shingles are equal place by place, or, as words may have been put in, left
-    out or moved, where they stand anywhere on the other side, first in all of it, then in its stretch."""
+    out or moved, where they stand anywhere on the other side, first in all of it, then in its stretch.
+    ``one``: which shingles of ``a`` stand anywhere in ``b``, where that is known."""
     out: list[tuple[int, int, int, int, float] | None] = [None] * len(a)
-    both = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
-    one = both.any(axis=2)
+    if one is None:
+        one = ((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]).any(axis=2)
     same = (a == b) & (a != 0)
     # equal shingles through the middle without a break, and next to none elsewhere
     left = np.argmin(np.concatenate([same[:, REACH::-1], np.zeros((len(a), 1), bool)], axis=1), axis=1)
@@ -404,38 +449,41 @@ def verified(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, flo
         l, h = REACH - int(left[k]) + 1, REACH + int(right[k]) - 1
         out[k] = (l, h, l, h, 1.0)
     rest = np.flatnonzero(~plain)
-    for k, got in zip(rest.tolist(), _searched(a[rest], b[rest], same[rest], both[rest], one[rest]), strict=True):
-        out[k] = got
+    if len(rest):
+        for k, got in zip(rest.tolist(), _searched(a[rest], b[rest], same[rest], one[rest]), strict=True):
+            out[k] = got
     return out
 
 
-def _searched(a: np.ndarray, b: np.ndarray, same: np.ndarray, both: np.ndarray, one: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
+def _searched(a: np.ndarray, b: np.ndarray, same: np.ndarray, one: np.ndarray) -> list[tuple[int, int, int, int, float] | None]:
     out: list[tuple[int, int, int, int, float] | None] = [None] * len(a)
 
     def take(rows: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> None:
         for k in np.flatnonzero((ha - la + 1 >= LEAST) & (hb - lb + 1 >= LEAST)).tolist():
             x, l, h, m, n = int(rows[k]), int(la[k]), int(ha[k]), int(lb[k]), int(hb[k])
-            row = int(at[x])
-            if out[row] is None or h - l > out[row][1] - out[row][0]:
+            if out[x] is None or h - l > out[x][1] - out[x][0]:
                 s = similarity(a[x, l : h + 1], b[x, m : n + 1])
                 if 100 * s >= PERCENT:
-                    out[row] = (l, h, m, n, s)
+                    out[x] = (l, h, m, n, s)
 
-    far = stretch(one)
-    at = np.flatnonzero(far[1] - far[0] + 1 >= LEAST)
-    a, b, same, both, one = a[at], b[at], same[at], both[at], one[at]
     lo, hi = stretch(same)
     take(np.arange(len(a)), lo, hi, lo, hi)
-    columns = np.arange(2 * REACH + 1)
-    two = both.any(axis=1)
     more = np.flatnonzero(one.sum(axis=1) - (hi - lo + 1) >= 2 * SIZE)
-    both, one, two = both[more], one[more], two[more]
-    for again in (True, False):
-        (la, ha), (lb, hb) = stretch(one), stretch(two)
-        take(more, la, ha, lb, hb)
-        if again:
-            inside = lambda l, h: (columns >= l[:, None]) & (columns <= h[:, None])
-            one, two = (both & inside(lb, hb)[:, None, :]).any(axis=2), (both & inside(la, ha)[:, :, None]).any(axis=1)
+    if len(more) == 0:
+        return out
+    columns = np.arange(2 * REACH + 1)
+    both = (a[more][:, :, None] == b[more][:, None, :]) & (a[more] != 0)[:, :, None]
+    one, two = one[more], both.any(axis=1)
+    (la, ha), (lb, hb) = stretch(one), stretch(two)
+    # within these the second search can find only shorter ones
+    far = np.flatnonzero((ha - la + 1 >= LEAST) & (hb - lb + 1 >= LEAST))
+    if len(far) == 0:
+        return out
+    more, la, ha, lb, hb = more[far], la[far], ha[far], lb[far], hb[far]
+    take(more, la, ha, lb, hb)
+    inside = lambda l, h: (columns >= l[:, None]) & (columns <= h[:, None])
+    one, two = (both[far] & inside(lb, hb)[:, None, :]).any(axis=2), (both[far] & inside(la, ha)[:, :, None]).any(axis=1)
+    take(more, *stretch(one), *stretch(two))
     return out
 
 
@@ -457,9 +505,10 @@ def _compared(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
         distinct.setdefault((key, off, held), []).append(k)
     first = [held[0] for held in distinct.values()]
     around = np.zeros((len(first), 2 * REACH + 1), np.uint32)
-    for k, (_, off, held) in enumerate(distinct):
-        x = np.frombuffer(held, np.uint32)
-        around[k, REACH - off : REACH - off + len(x)] = np.where(x == 0, 1, x)
+    held = np.frombuffer(b"".join(held for _, _, held in distinct), np.uint32)
+    n, off = np.array([len(held) // 4 for _, _, held in distinct]), np.array([off for _, off, _ in distinct])
+    at = np.repeat(np.arange(len(n)) * around.shape[1] + REACH - off - np.cumsum(n) + n, n) + np.arange(len(held))
+    around.ravel()[at] = np.where(held == 0, 1, held)
     _, group = np.unique(np.array([key for key, _, _ in distinct]), return_inverse=True)
     several = [len({rows[k][1] for k in held}) > 1 for held in distinct.values()]
     # a row of several documents is no document's own
@@ -479,7 +528,7 @@ def _compared(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
             lo, hi = reach.get(a, (la, ha))
             reach[a] = min(lo, la), max(hi, ha)
     members = list(distinct.values())
-    base = lambda i: np.frombuffer(rows[i][4], np.int32).astype(np.int64) - REACH
+    base = lambda i: [x - REACH for x in memoryview(rows[i][4]).cast("i")]
     out: list[tuple] = []
     trees: dict[int, list[int]] = {}
     for k in sorted(reach):
@@ -491,14 +540,13 @@ def _compared(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
             that = next((j for j in members[other] if rows[j][1] != own), None)
             if that is None:  # the other row is of this document alone
                 continue
-            there, at = int(base(that)[0]), base(i)
-            starts, ends = at + lo, at + hi
-            cut = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1])) if len(at) > 1 else np.zeros(1, np.int64)
-            for c, e in zip(cut.tolist(), [*(cut[1:] - 1).tolist(), len(at) - 1], strict=True):
-                node, from_ = _node(own, int(at[c]) + REACH), int(at[c])
+            there, at = base(that)[0], base(i)
+            cut = [c for c in range(len(at)) if c == 0 or at[c] + lo > at[c - 1] + hi + 1]
+            for c, e in zip(cut, [*(c - 1 for c in cut[1:]), len(at) - 1], strict=True):
+                node, from_ = _node(own, at[c] + REACH), at[c]
                 up = tree[(len(tree) - 1) // FANOUT] if tree else node
                 tree.append(node)
-                out.append((node, own, int(starts[c]), int(ends[e]), up, s, from_ + la, from_ + ha, rows[that][1], there + lb, there + hb))
+                out.append((node, own, from_ + lo, at[e] + hi, up, s, from_ + la, from_ + ha, rows[that][1], there + lb, there + hb))
     return _arrow(NODES, *(zip(*out, strict=True) if out else [[]] * 11))
 
 

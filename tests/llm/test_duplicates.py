@@ -396,3 +396,48 @@ def test_rows_not_joined_are_compared():
     assert _classes([(x, y) for x, _, _, y, *_ in links], 5) == _classes(want, 5)
     same = substring_dedup.linked(around, np.zeros(5, np.int64), np.zeros(5, np.int64))
     assert not same[1]
+
+
+def test_stretches_against_all_ends():
+    """The longest through the middle, whatever the number of rows."""
+    rng = np.random.default_rng(5)
+    mid = substring_dedup.REACH
+    hits = np.concatenate([rng.random((60, 2 * mid + 1)) < p for p in (0.1, 0.7, 0.85, 0.9, 0.95, 1.0)])
+    hits[:, mid] = True  # the shared shingle
+    lo, hi = substring_dedup.stretch(hits)
+    for hit, a, b in zip(hits, lo.tolist(), hi.tolist(), strict=True):
+        good = [(l, r) for l in range(mid + 1) for r in range(mid, 2 * mid + 1) if hit[l] and hit[r] and 9 * (~hit[l : r + 1]).sum() <= r - l + 1]
+        assert b - a == max(r - l for l, r in good) and (a, b) in good
+    one = np.tile(hits, (20, 1))  # more rows than are sought at once
+    assert len(one) > substring_dedup.STRETCH_AT_ONCE
+    for got, want in zip(substring_dedup.stretch(one), (lo, hi), strict=True):
+        assert (got.reshape(20, -1) == want).all()
+
+
+def test_rows_of_one_shingle_are_not_verified(monkeypatch):
+    """A row that repeats one shingle has all its columns in any row that holds it once; that alone is no
+    reason to compare the two place by place."""
+    rng = np.random.default_rng(6)
+    n, width = 600, 2 * substring_dedup.REACH + 1
+    around = rng.integers(1, 2**32, (n, width)).astype(np.uint32)
+    around[:, 40:45] = 7  # all hold it, too rarely for a link
+    for k in range(0, n, 2):
+        around[k] = rng.integers(1, 2**32)
+        around[k, : substring_dedup.REACH + 30] = 7 if k % 4 else 8
+        around[k, substring_dedup.REACH] = 7
+    told, verified = [], substring_dedup.verified
+
+    def count(a, *others):
+        told.append(len(a))
+        return verified(a, *others)
+
+    monkeypatch.setattr(substring_dedup, "verified", count)
+    group = np.arange(n) // 300  # in groups done one by one
+    comp, links = substring_dedup.linked(around, group, np.arange(n))
+    want = [(a, b) for g in (0, 300) for a, b in itertools.combinations(range(g + 2, g + 300, 4), 2)]
+    assert all(verified(around[[a]], around[[b]])[0] for a, b in want[::500])
+    mixed = [(a, b) for a in range(2, 40, 4) for b in range(1, 40, 2)]
+    assert not any(verified(around[[a]], around[[b]])[0] for a, b in mixed)
+    assert all(len(set(comp[g + 2 : g + 300 : 4].tolist())) == 1 for g in (0, 300))
+    assert not any(x % 2 or y % 2 for x, _, _, y, *_ in links)
+    assert sum(told) < 2 * n
