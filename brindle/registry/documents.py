@@ -77,9 +77,11 @@ def _(spark, d):
 @register("x01_toy_capture", "SELECT conv_id, count(*)::BIGINT * 2 AS n_rows, 16::BIGINT AS width FROM (SELECT conv_id, unnest(regexp_extract_all(text, '([^ \\t\\n\\r]+)', 1)) FROM conversations) GROUP BY conv_id")
 def _(spark, d):
     """Vectors of two layers from the shipped source, for whole chats."""
-    turns = table(spark, d, "conversations")
-    t = turns.select("conv_id", "turn", F.posexplode(tokens.token_texts(F.col("text"))).alias("p", "token")).withColumn("pos", (F.col("turn") * 100000 + F.col("p")).cast("long"))
-    got = capture(t, ToySource(), [0, 1], doc="conv_id", context=10**9)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    parts = max(8, 2 * turns.rdd.getNumPartitions())
+    turns = turns.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "text")
+    t = turns.select("conv_id", "turn", F.posexplode(tokens.token_texts(F.col("text"))).alias("p", "token")).withColumn("pos", F.col("turn") * 2**31 + F.col("p"))
+    got = capture(t, ToySource(), [0, 1], doc="conv_id", context=None, ordered=True)
     return got.groupBy("conv_id").agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).cast("long").alias("width"))
 
 

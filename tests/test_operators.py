@@ -1,5 +1,6 @@
 """Literal rows for windows, joins, sampling, matching, statistics and streams."""
 
+import hashlib
 import itertools
 import math
 
@@ -176,6 +177,78 @@ def test_toy_source_is_causal(spark):
         check_site(src, "mlp_out")
 
 
+class Whole:
+    """A source that takes whole documents only."""
+
+    width, sites = 4, ("residual",)
+
+    def run(self, tokens, layers):
+        return {layer: np.full((len(tokens), 4), float(len(tokens) + layer)) for layer in layers}
+
+
+class Pieces(ToySource):
+    """A source that must be given pieces."""
+
+    def run(self, tokens, layers):
+        raise AssertionError("a whole document was gathered")
+
+
+def test_capture_streams_documents(spark):
+    """Documents over many batches, one without id, and pieces smaller than a batch: the vectors are those of whole runs."""
+    docs = spark.createDataFrame([(1, " ".join(f"a{k % 31}" for k in range(500))), (2, "x"), (None, "y z"), (3, " ".join(f"b{k}" for k in range(90)))], "doc_id bigint, text string")
+    rows = tokens.tokenize(docs)
+    spark.sparkContext.addPyFile(__file__)  # for the sources
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        wide = 2**16  # so that a piece is at most 8 tokens
+        assert [r["n"] for r in capture(rows, Pieces(wide), [0, 3]).where("doc_id = 3").groupBy("layer").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("w")).collect()] == [90, 90]
+        got = capture(rows, Pieces(8), [0, 3]).collect()
+        whole = capture(rows, Whole(), [0, 3], context=None).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(whole) == 2 * (500 + 1 + 2 + 90)
+    for d, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        want = ToySource(8).run(text.split(), [0, 3])
+        for layer in (0, 3):
+            mine = sorted((r["pos"], r["token"], r["vec"]) for r in got if r["doc_id"] == d and r["layer"] == layer)
+            assert [t for _, t, _ in mine] == text.split() and np.array_equal([v for *_, v in mine], want[layer])
+            assert {tuple(r["vec"]) for r in whole if r["doc_id"] == d and r["layer"] == layer} == {(float(len(text.split()) + layer),) * 4}
+    assert capture(rows, Whole(), [0], context=3).count() == 3 + 1 + 2 + 3
+
+
+def test_token_vectors_are_numpys_draws():
+    """One generator set anew for each token gives what a generator of its own gives, remembered or not."""
+    words = ["", "a", "é漢"] + [f"w{k}" for k in range(300)]
+    for width in (3, 16):
+        want = []
+        for w in words:
+            v = np.random.default_rng(int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")).standard_normal(width)
+            want.append(v / np.linalg.norm(v))
+        src = ToySource(width)
+        assert np.array_equal(src.token_vectors(words), want) and np.array_equal(src.token_vector("a"), want[1])
+        for take in (slice(0, 100), slice(50, None), slice(0, None)):
+            assert np.array_equal(src._vectors(words[take] * 2), want[take] * 2)
+    one, two = {0: [], 2: []}, None
+    for k in range(0, len(words), 7):
+        got, two = src.resume(words[k : k + 7], [0, 2], two)
+        for layer in one:
+            one[layer].extend(got[layer])
+    whole = src.run(words, [0, 2])
+    assert all(np.array_equal(one[layer], whole[layer]) for layer in one)
+
+
+def test_toy_capture_takes_late_turns_and_long_ones(spark, tmp_path):
+    """Turns from 10000 on were cut, though whole chats are asked for."""
+    from brindle.registry import all_entries
+
+    rows = [(1, 0, "system", "a b"), (1, 20_000, "user", "c d e"), (1, 2**31, "user", "f"), (2, 1, "user", None), (None, 3, "user", "g"), (3, 0, "user", " ")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = all_entries()["x01_toy_capture"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 12, 16), (None, 2, 16)]
+
+
 def test_streaming_topk_and_moments(spark, tmp_path):
     rows = spark.createDataFrame([(k % 2, k, float(k) * (-1) ** k) for k in range(20)], "component bigint, row_id bigint, score double")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
